@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import packing
+from marlstone.llm import mixing, packing
 from marlstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,12 @@ def tokenizer_path() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 tokens."""
     return packing.pack_sequences(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of every document."""
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op2_mixing"] = mixing.SQL
