@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import mixing, packing, secret_scan
+from marlstone.llm import mixing, packing, pii, secret_scan
 from marlstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,9 @@ ORACLE_SQL["op2_mixing"] = mixing.SQL
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
