@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import mixing, packing, pii, secret_scan
+from marlstone.llm import mixing, neardup, packing, pii, secret_scan
 from marlstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
