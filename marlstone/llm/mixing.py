@@ -29,7 +29,7 @@ from marlstone.llm.common import text_or_empty, written
 WEIGHTS = (3, 1, 2)
 BUDGET_SHARE = 1.5
 MAX_PASSES = 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
