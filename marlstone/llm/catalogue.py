@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import mixing, neardup, packing, pii, secret_scan
+from marlstone.llm import fingerprints, mixing, neardup, packing, pii, secret_scan
 from marlstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document."""
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and of its edited text."""
+    return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
