@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, fingerprints, mixing, neardup, packing, pii, quality, secret_scan, toxicity
+from marlstone.llm import ann, fingerprints, licenses, mixing, neardup, packing, pii, quality, secret_scan, toxicity
 from marlstone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors to every fiftieth."""
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
