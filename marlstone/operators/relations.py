@@ -63,10 +63,9 @@ def linked(owners: DataFrame, relation: Relation, target: DataFrame, through: Da
         if relation.kind in INVERSE:  # a row meets another once, whatever keys they share
             pairs = pairs.groupBy("l_slug", "t_slug").agg(F.min("order").alias("order"))
         return pairs.select("l_slug", "order", "t_slug")
-    first = left.join(keyed(through, relation.through_foreign, "m_"), F.col("l_key") == F.col("m_key")).select("l_slug", "l_pos", "m_slug")
-    second = keyed(through, relation.through_local, "n_").withColumnsRenamed({"n_slug": "o_slug"})
-    third = keyed(target, relation.foreign, "f_")
-    pairs = first.join(second, F.col("m_slug") == F.col("o_slug")).join(third, F.col("n_key") == F.col("f_key"))
+    middle = through.select(F.col("slug").alias("m_slug"), field_values(through.schema, relation.through_local).alias("ends"), F.explode(field_values(through.schema, relation.through_foreign)).alias("m_key"))
+    middle = middle.select("m_slug", "m_key", F.posexplode("ends").alias("n_pos", "n_key"))
+    pairs = left.join(middle, F.col("l_key") == F.col("m_key")).join(keyed(target, relation.foreign, "f_"), F.col("n_key") == F.col("f_key"))
     order = F.struct(F.col("l_pos").alias("a"), F.col("m_slug").alias("b"), F.col("n_pos").alias("c"), F.col("f_slug").alias("d"))
     return pairs.select("l_slug", order.alias("order"), F.col("f_slug").alias("t_slug"))
 

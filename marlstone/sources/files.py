@@ -74,3 +74,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a text file that aren't blank."""
     return spark.read.text(path).where(F.trim("value") != "")
+
+
+def parsed_column(df: DataFrame, kind: str, schema: str, raw: str = "raw", key: str = "slug") -> DataFrame:
+    """(key, the schema's columns): a column of file contents through a parser, a row for every record."""
+    parser = registry.parsers()[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(slug, json.dumps(plain(x), ensure_ascii=False)) for slug, text in zip(rows["k"], rows["t"], strict=True) for data in [parser(text)] for x in (data if isinstance(data, list) else [data])]
+            yield pd.DataFrame(found, columns=["k", "record"])
+
+    got = df.select(F.col(key).alias("k"), F.col(raw).alias("t")).mapInPandas(run, "k string, record string")
+    return got.select(F.col("k").alias(key), F.from_json("record", schema).alias("r")).select(key, "r.*")
