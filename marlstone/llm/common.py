@@ -39,3 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until none is a column of df."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name = f"_{name}"
+        return name
+
+    return [free(f"_{n}") for n in names]

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_or_empty, written
+from marlstone.llm.common import spare, text_or_empty, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET_SHARE = 1.5
@@ -115,12 +115,13 @@ def mix(docs: DataFrame, *, seed: str = SEED, max_passes: int = MAX_PASSES, **op
     source's cut is a position in its shuffled order, so the texts are only filtered by it.
     """
     plan = mixing_plan(docs, seed=seed, max_passes=max_passes, **options)
-    last = [F.max(F.when(2 * F.col("passes")[p] >= F.greatest("size", F.lit(1)), F.struct("key", "doc_id"))).alias(f"_cut{p}") for p in range(max_passes)]
-    cuts = written(plan.groupBy(F.col("source").alias("_source")).agg(*last), "cuts")
+    own, times, *cut = spare(docs, "source", "pass", *[f"cut{p}" for p in range(max_passes)])
+    last = [F.max(F.when(2 * F.col("passes")[p] >= F.greatest("size", F.lit(1)), F.struct("key", "doc_id"))).alias(cut[p]) for p in range(max_passes)]
+    cuts = written(plan.groupBy(F.col("source").alias(own)).agg(*last), "cuts")
     at = F.struct(shuffle_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    passes = sum((F.when(at <= F.col(f"_cut{p}"), 1).otherwise(0) for p in range(max_passes)), F.lit(0))
-    chosen = docs.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
-    return chosen.withColumn("_pass", F.explode(F.array_repeat(F.lit(1), passes))).select(*docs.columns)
+    passes = sum((F.when(at <= F.col(c), 1).otherwise(0) for c in cut), F.lit(0))
+    chosen = docs.join(cuts, F.col("source").eqNullSafe(F.col(own)))
+    return chosen.withColumn(times, F.explode(F.array_repeat(F.lit(1), passes))).select(*docs.columns)
 
 
 SQL = """

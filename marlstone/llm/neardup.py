@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_or_empty, written
+from marlstone.llm.common import spare, text_or_empty, written
 from marlstone.llm.components import components
 from marlstone.llm.tokenizing import ragged
 
@@ -294,9 +294,10 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that have a near copy of smaller doc_id in their class. Rows without doc_id stay."""
     classes = written(near_duplicate_classes(docs, **options), "classes")
-    kept = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-    repeated = not kept.where("_n > 1").isEmpty()
-    out = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id")).select(*docs.columns)
+    own, times = spare(docs, "id", "n")
+    kept = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(times))
+    repeated = not kept.where(F.col(times) > 1).isEmpty()
+    out = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(own)).select(*docs.columns)
     if repeated:
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import text_or_empty, written
+from marlstone.llm.common import spare, text_or_empty, written
 from marlstone.llm.learning import labelled_sample, logistic, sigmoid
 
 PER_CLASS = 3000
@@ -106,7 +106,7 @@ def _measure(batches):
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
     sample = labelled_sample(docs, labels, "quality", per_class).mapInArrow(_measure, "y double, x array<double>")
     rows = sorted((tuple(r["x"]), r["y"]) for r in sample.collect())  # at most 2 * per_class rows of numbers
-    return Classifier(np.array([r[0] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows]))
+    return Classifier(np.array([r[0] for r in rows]).reshape(len(rows), len(MEASURES)), np.array([r[1] for r in rows]))
 
 
 def _own(classifier: Classifier):
@@ -172,15 +172,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, host: str = "source",
 def keep_good(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
     """docs' rows whose score is at least 0.5. A document's own probability is worked out twice rather than shuffling texts."""
     classifier = fitted(docs, labels, per_class)
-    groups = written(group_posteriors(_scored(docs, classifier, host, path, [])), "groups").select(F.col("host").alias("_host"), F.col("path").alias("_path"), "shift")
-    same = F.col(host).cast("string").eqNullSafe(F.col("_host")) & F.col(path).cast("string").eqNullSafe(F.col("_path"))
-    shifted = docs.join(groups, same).select(*docs.columns, F.col("shift").alias("_shift"))
+    of_host, of_path, by = spare(docs, "host", "path", "shift")
+    groups = written(group_posteriors(_scored(docs, classifier, host, path, [])), "groups").select(F.col("host").alias(of_host), F.col("path").alias(of_path), F.col("shift").alias(by))
+    same = F.col(host).cast("string").eqNullSafe(F.col(of_host)) & F.col(path).cast("string").eqNullSafe(F.col(of_path))
+    shifted = docs.join(groups, same).select(*docs.columns, by)
 
     def run(batches):
         for whole in batches:
             for batch in _batches(whole, "text"):
                 own = np.clip(classifier(pc.fill_null(batch["text"], "")), 1e-12, 1 - 1e-12)
-                keep = np.log(own / (1 - own)) + batch["_shift"].to_numpy() >= 0
-                yield batch.filter(pa.array(keep)).drop_columns(["_shift"])
+                keep = np.log(own / (1 - own)) + batch[by].to_numpy() >= 0
+                yield batch.filter(pa.array(keep)).drop_columns([by])
 
     return shifted.mapInArrow(run, docs.schema)

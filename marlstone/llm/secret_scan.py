@@ -228,7 +228,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     Overlapping spans are masked as one. Documents without secrets stay as they are.
     """
-    found = scan_secrets(docs)
+    found = scan_secrets(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     base, more = _split(found)
     every = F.array_sort(F.concat(*[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["finish"].alias("finish"))) for c in (base | more).values()]))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
@@ -241,11 +241,10 @@ def redact_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length("_text")))
     found = found.withColumn("_every", every)
-    masked = F.when(F.size("_every") > 0, F.aggregate("_every", start, step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", masked)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_every") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    some = F.size("_every") > 0
+    found = found.withColumn("_masked", F.when(some, F.aggregate("_every", start, step, rest)).otherwise(F.col("text")))
+    new = {"text": F.col("_masked"), "n_chars": F.when(some, F.length("_masked")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("_row")[f.name]).alias(f.name) for f in docs.schema.fields])
 
 
 def compiled(rule: Rule) -> re.Pattern:
