@@ -109,10 +109,10 @@ def owners(rows: DataFrame) -> DataFrame:
 
 
 def export_lines(rows: DataFrame, path: str, gzip: bool = True) -> None:
-    """The postings as JSON lines {v, vs, ref} by source, field and prefix, for other readers."""
-    refs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("slug", "ref"))))
-    lines = rows.groupBy("source", "field", "p", "v", "vs").agg(refs.alias("ref"))
-    writer = lines.sortWithinPartitions("v", "vs").write.mode("overwrite").partitionBy("source", "field", "p")
+    """The postings as JSON lines {v, vs, ref: {slug: {field: [prefixes]}}} by source, field and prefix, for other readers. A line for each record, so that a frequent value is no group to gather."""
+    lines = rows.select("source", "field", "p", "v", "vs", F.create_map("slug", "ref").alias("ref"))
+    dealt = lines.repartition("source", "field", "p", F.pmod(F.xxhash64("v", "vs"), F.lit(8))).sortWithinPartitions("source", "field", "p", "v", "vs")
+    writer = dealt.write.mode("overwrite").partitionBy("source", "field", "p")
     (writer.option("compression", "gzip") if gzip else writer).json(path)
 
 
