@@ -67,9 +67,9 @@ def affected(engine: Engine, feed: DataFrame, name: str) -> DataFrame:
     return reduce(DataFrame.union, parts).distinct()
 
 
-def updated(engine: Engine, rows: DataFrame, feed: DataFrame, name: str) -> DataFrame:
-    """The source's postings after the changes; engine's frames are the new state."""
-    touched = affected(engine, feed, name)
+def updated(engine: Engine, rows: DataFrame, feed: DataFrame, name: str, touched: DataFrame | None = None) -> DataFrame:
+    """The source's postings after the changes; engine's frames are the new state. touched: affected(), if it is at hand."""
+    touched = affected(engine, feed, name) if touched is None else touched
     kept = rows.where(F.col("source") == name).join(touched, "slug", "left_anti").select(*index.COLUMNS)
     fresh = index.postings(engine, name).join(touched, "slug", "left_semi")
     return kept.unionByName(index.with_ref(fresh))
@@ -85,15 +85,16 @@ def apply_changes(engine: Engine, path: str, feed: DataFrame, staging: str) -> l
     rows = index.read_index(spark, path)
     done: list[tuple[str, str, str]] = []
     for name in engine.catalog:
-        touched = affected(engine, feed, name)
+        staged = f"{staging.rstrip('/')}/{name}"
+        affected(engine, feed, name).write.mode("overwrite").parquet(f"{staged}/touched")
+        touched = spark.read.schema("slug string").parquet(f"{staged}/touched")
         if touched.isEmpty():
             continue
         old = rows.where(F.col("source") == name)
-        new = updated(engine, rows, feed, name)
+        new = updated(engine, rows, feed, name, touched)
         before = old.join(touched, "slug", "left_semi").select("source", "field", "p")
         after = index.postings(engine, name).join(touched, "slug", "left_semi").select("source", "field", "p")
         places = before.union(after).distinct()
-        staged = f"{staging.rstrip('/')}/{name}"
         new.join(places, ["source", "field", "p"], "left_semi").select(*index.COLUMNS).write.mode("overwrite").parquet(f"{staged}/rows")
         places.write.mode("overwrite").parquet(f"{staged}/places")
         ready, places = spark.read.parquet(f"{staged}/rows"), spark.read.parquet(f"{staged}/places")
