@@ -246,11 +246,10 @@ def _candidate_links(members: DataFrame, signed: DataFrame, least: float, block:
 
 
 def _salted(members: DataFrame, by: list[str], block: int) -> DataFrame:
-    """(band, block, split, key) of members (band, key, ...): groups of `by` in blocks of about `block` rows; single rows are left out."""
+    """members with the size n of their group of `by` and a salt that cuts it into blocks of about `block` rows; single rows are left out."""
     sizes = members.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnsRenamed({c: f"_{c}" for c in by})
-    same = [F.col(c) == F.col(f"_{c}") for c in by]
     salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("key", "band"), F.ceil(F.col("n") / block))).otherwise(F.lit(0))
-    return members.join(sizes, same).select("band", "key", "n", salt.alias("salt"), *[c for c in by if c != "band"])
+    return members.join(sizes, [F.col(c) == F.col(f"_{c}") for c in by]).select(*members.columns, "n", salt.alias("salt"))
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
@@ -263,7 +262,7 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
     band = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 1 + b * 2 * ROWS, 2 * ROWS))
     more = lambda b: F.xxhash64(F.substring("sig", 1 + (b * 2 * ROWS + 2 * ROWS) % (2 * COORDINATES), 2))
     banded = signed.select("key", F.explode(F.array(*[F.struct(band(b).alias("band"), more(b).alias("more")) for b in range(BANDS)])).alias("x")).select("key", "x.band", "x.more")
-    meeting = written(_salted(banded.select("band", "key", "more"), ["band"], block).join(banded.select("band", "key", "more"), ["band", "key"]), "meeting")
+    meeting = written(_salted(banded, ["band"], block), "meeting")
     small = meeting.where(F.col("n") <= block).select("band", F.lit(0).cast("long").alias("block"), F.lit(False).alias("split"), "key")
     large = _salted(meeting.where(F.col("n") > block).select("band", "more", "key"), ["band", "more"], block)
     alone = meeting.where(F.col("n") > block).select("band", "key")  # a bucket's rows that share no further coordinate meet with the roots
