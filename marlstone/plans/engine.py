@@ -11,6 +11,7 @@ from marlstone.functions.values import INTEGRAL
 from marlstone.operators import relations
 from marlstone.plans.catalog import Catalog, Source
 from marlstone.plans.query import Query
+from marlstone.shipping import ship
 from marlstone.sources import files
 from marlstone.sources.parsers import Parser
 from marlstone.sources.validation import Validator, validate
@@ -31,6 +32,7 @@ class Engine:
         validator: Validator | None = validate,
         strict: bool = False,
     ):
+        ship(spark)
         self.spark, self.catalog, self.root, self.strict = spark, catalog, root, strict
         self.frames, self.custom_index = dict(frames or {}), dict(custom_index or {})
         self.parsers, self.validator = dict(parsers or {}), validator
