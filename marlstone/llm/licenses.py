@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import text_or_empty
+from marlstone.shipping import ship
 
 # Customary short notices of public licences.
 NOTICES = {
@@ -228,5 +229,6 @@ def _scan(classifier: Classifier):
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, n_found, n_unknown, spans): licenses are the families found, sorted; spans are family:start:end."""
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(_scan(Classifier()), "doc_id long, licenses string, n_found long, n_unknown long, spans string")
