@@ -222,11 +222,11 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     ids = source.select("doc_id").where("doc_id is not null")
     n, most = ids.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     ranges = min(MOST_RANGES, math.ceil(n / RANGE_ROWS))
-    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    shares = F.expr(f"array({', '.join(f'{k / ranges!r}D' for k in range(1, ranges))})")
     cuts = ids.agg(F.percentile_approx("doc_id", shares, F.lit(10 * ranges))).first()[0] if ranges > 1 else []
     bounds = np.array(sorted(set(cuts) | ({int(most)} if n else set()), reverse=True), np.int64)
     dealt = source.mapInArrow(_range(bounds), "place long, ahead boolean, doc_id long, text string")
-    ordered = dealt.repartition("place").sortWithinPartitions("place", "ahead", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = dealt.repartition(max(1, len(bounds)), "place").sortWithinPartitions("place", "ahead", F.col("doc_id").desc_nulls_last(), "text")
     return ordered.mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
