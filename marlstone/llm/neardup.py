@@ -11,9 +11,11 @@ Documents of the same words are one class from the start (by a 128-bit hash), so
 of them is banded. Documents that share a band's coordinates meet in a bucket. A bucket of
 more than `block` members is split by one more coordinate and then by a salt; each block
 is a maximum spanning forest by agreement of signatures, of which the edges are candidate
-links; the forests' roots of a split bucket meet again until one block holds them. No pair
-of a bucket is emitted but the forest's. Candidate links are then verified exactly on the
-shingles, and classes are the connected components of the links that hold.
+links; the forests' roots of a split bucket meet again until one block holds them.
+Candidate links are then verified exactly on the shingles, and classes are the connected
+components of the links that hold. Where a link of a forest didn't hold, its block is gone
+through again: members name their nearest untried members of other classes, twice as many
+in each round, until none within reach is left. Pairs within a class are never emitted.
 
 Defined results: words are runs of letters, digits and underscores in lower case; a text
 of one to four words has them as its only shingle; texts without words are in a class only
@@ -23,7 +25,7 @@ copies, and a class of only such rows has a null class_id; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +171,7 @@ def _verify(similarity: float):
                 least, most = sorted((len(a), len(b)))
                 shared = common(a, b) if least >= similarity * most else 0
                 keep.append(shared >= similarity * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "holds"])
 
     return run
 
@@ -193,28 +195,27 @@ def forest(signatures: np.ndarray, least: float) -> tuple[list[tuple[int, int]],
     return edges, roots
 
 
-def _link(least: float):
-    """Rows sorted by (band, block): the candidate links of each block, and its roots where the bucket was split."""
+LINKS = "band long, block long, a binary, b binary"
 
-    def blocks(table: pa.Table) -> pa.RecordBatch:
-        band, block = table["band"].to_numpy(), table["block"].to_numpy()
-        split, keys = table["split"].to_pylist(), table["key"].to_pylist()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(keys), -1)
-        first = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (block[1:] != block[:-1])))
-        size = np.diff(np.append(first, len(band)))
-        rows: list[tuple] = []
-        two = first[size == 2]
-        for i, share in zip(two.tolist(), (sig[two] == sig[two + 1]).mean(axis=1).tolist(), strict=True):
-            if share >= least:
-                rows.append((None, *sorted((keys[i], keys[i + 1]))))
-            if split[i]:
-                rows += [(band[i], keys[j], None) for j in ([i] if share >= least else [i, i + 1])]
-        for i, m in zip(first[size != 2].tolist(), size[size != 2].tolist(), strict=True):
-            edges, roots = forest(sig[i : i + m], least) if m > 1 else ([], [0])
-            rows += [(None, *sorted((keys[i + a], keys[i + b]))) for a, b in edges]
-            if split[i]:
-                rows += [(band[i], keys[i + r], None) for r in roots]
-        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["band", "a", "b"])
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(types)], ["band", "block", "a", "b"])
+
+
+def _starts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Where the table's blocks begin, and their sizes."""
+    band, block = table["band"].to_numpy(), table["block"].to_numpy()
+    first = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (block[1:] != block[:-1])))
+    return first, np.diff(np.append(first, len(band)))
+
+
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(table.num_rows, -1)
+
+
+def _by_block(blocks: Callable[[pa.Table], pa.RecordBatch]):
+    """blocks on tables of whole blocks, from rows sorted by (band, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -237,12 +238,69 @@ def _link(least: float):
     return run
 
 
-def _candidate_links(members: DataFrame, signed: DataFrame, least: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """members (band, block, split, key): (links (a, b), roots (band, key) of split buckets)."""
+def _link(least: float):
+    """The candidate links of each block, and its roots (b is null) where the bucket was split."""
+
+    def blocks(table: pa.Table) -> pa.RecordBatch:
+        band, block, sig = table["band"].to_numpy(), table["block"].to_numpy(), _signatures(table)
+        split, keys = table["split"].to_pylist(), table["key"].to_pylist()
+        first, size = _starts(table)
+        rows: list[tuple] = []
+        two = first[size == 2]
+        for i, share in zip(two.tolist(), (sig[two] == sig[two + 1]).mean(axis=1).tolist(), strict=True):
+            if share >= least:
+                rows.append((band[i], block[i], *sorted((keys[i], keys[i + 1]))))
+            if split[i]:
+                rows += [(band[i], block[i], keys[j], None) for j in ([i] if share >= least else [i, i + 1])]
+        for i, m in zip(first[size != 2].tolist(), size[size != 2].tolist(), strict=True):
+            edges, roots = forest(sig[i : i + m], least) if m > 1 else ([], [0])
+            rows += [(band[i], block[i], *sorted((keys[i + a], keys[i + b]))) for a, b in edges]
+            if split[i]:
+                rows += [(band[i], block[i], keys[i + r], None) for r in roots]
+        return _links(rows)
+
+    return _by_block(blocks)
+
+
+def across(signatures: np.ndarray, label: np.ndarray, tried: np.ndarray, least: float, each: int) -> set[tuple[int, int]]:
+    """For every row its `each` nearest among the untried rows of other labels that it agrees with on a share of `least` at least."""
+    pairs = set()
+    for i in range(len(signatures)):
+        open_ = np.flatnonzero((label != label[i]) & ~tried[i])
+        share = (signatures[open_] == signatures[i]).mean(axis=1)
+        nearest = np.argsort(-share, kind="stable")[:each]
+        pairs |= {(min(i, j), max(i, j)) for j in open_[nearest[share[nearest] >= least]].tolist()}
+    return pairs
+
+
+def _untried(least: float, each: int):
+    """Candidate links between the classes of each block, besides those that have been tried in vain."""
+
+    def blocks(table: pa.Table) -> pa.RecordBatch:
+        band, block, sig = table["band"].to_numpy(), table["block"].to_numpy(), _signatures(table)
+        keys, names, without = table["key"].to_pylist(), table["label"].to_pylist(), table["without"].to_pylist()
+        rows: list[tuple] = []
+        for i, m in zip(*(x.tolist() for x in _starts(table)), strict=True):
+            if m < 3:
+                continue
+            place = {k: n for n, k in enumerate(keys[i : i + m])}
+            tried = np.zeros((m, m), bool)
+            for n, others in enumerate(without[i : i + m]):
+                tried[n, [place[k] for k in others or () if k in place]] = True
+            label = np.unique(np.array([x.hex() for x in names[i : i + m]]), return_inverse=True)[1]
+            found = across(sig[i : i + m], label, tried, least, each)
+            rows += [(band[i], block[i], *sorted((keys[i + a], keys[i + b]))) for a, b in sorted(found)]
+        return _links(rows)
+
+    return _by_block(blocks)
+
+
+def _candidate_links(members: DataFrame, signed: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """members (band, block, split, key): (links (band, block, a, b), roots (band, key) of split buckets)."""
     rows = members.join(signed, "key").select("band", "block", "split", "key", "sig")
     rows = rows.repartition("band", "block").sortWithinPartitions("band", "block", "key")
-    found = written(rows.mapInArrow(_link(least), "band long, a binary, b binary"), "candidates")
-    return found.where("b is not null").select("a", "b"), found.where("b is null").select("band", F.col("a").alias("key"))
+    found = written(rows.mapInArrow(_link(least), LINKS), "candidates")
+    return found.where("b is not null"), found.where("b is null").select("band", F.col("a").alias("key"))
 
 
 def _salted(members: DataFrame, by: list[str], block: int) -> DataFrame:
@@ -252,6 +310,35 @@ def _salted(members: DataFrame, by: list[str], block: int) -> DataFrame:
     return members.join(sizes, [F.col(c) == F.col(f"_{c}") for c in by]).select(*members.columns, "n", salt.alias("salt"))
 
 
+def _holding(links: DataFrame, members: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float, least: float) -> DataFrame:
+    """(node, label): the classes of the links (band, block, a, b) that hold, and of those that hold instead of links that don't.
+
+    Every end of a later candidate has a link of the forest, so sets (key, elements) has it.
+    """
+
+    def verified(some: DataFrame) -> DataFrame:
+        pairs = some.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+        return written(pairs.select("a", "b", "ea", "eb").mapInArrow(_verify(similarity), "a binary, b binary, holds boolean"), "verified")
+
+    tried, each = verified(links.select("a", "b").distinct()), 1
+    labels = components(tried.where("holds"))
+    open_ = links.join(tried.where("not holds"), ["a", "b"], "left_semi").select("band", "block").distinct()
+    while True:
+        failed = tried.where("not holds")
+        without = failed.select(F.col("a").alias("key"), "b").union(failed.select("b", "a")).groupBy("key").agg(F.collect_set("b").alias("without"))
+        near = members.join(written(open_, "open"), ["band", "block"], "left_semi").join(signed, "key")
+        near = near.join(labels.withColumnRenamed("node", "key"), "key", "left").join(without, "key", "left")
+        near = near.select("band", "block", "key", "sig", F.coalesce("label", "key").alias("label"), "without")
+        near = near.repartition("band", "block").sortWithinPartitions("band", "block", "key")
+        more = written(near.mapInArrow(_untried(least, each), LINKS), "candidates")
+        if more.isEmpty():
+            return labels
+        now = verified(more.select("a", "b").distinct())
+        if not now.where("holds").isEmpty():
+            labels = components(tried.union(now).where("holds"))
+        tried, open_, each = tried.union(now), more.select("band", "block").distinct(), 2 * each
+
+
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id of the document's class."""
     least = similarity - MARGIN
@@ -266,24 +353,23 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
     small = meeting.where(F.col("n") <= block).select("band", F.lit(0).cast("long").alias("block"), F.lit(False).alias("split"), "key")
     large = _salted(meeting.where(F.col("n") > block).select("band", "more", "key"), ["band", "more"], block)
     alone = meeting.where(F.col("n") > block).select("band", "key")  # a bucket's rows that share no further coordinate meet with the roots
-    links, roots = _candidate_links(small.union(large.select("band", F.xxhash64("more", "salt"), F.lit(True), "key")), signed, least, block)
+    first = small.union(large.select("band", F.xxhash64("more", "salt"), F.lit(True), "key"))
+    links, roots = _candidate_links(first, signed, least)
+    members = first.select("band", "block", "key")
     roots = roots.union(alone.join(large.select("band", "key"), ["band", "key"], "left_anti"))
-    before = None
+    before, level = None, 0
     while True:
-        roots = written(roots, "roots")
+        roots, level = written(roots, "roots"), level + 1
         left = roots.count()
         if not left or (before is not None and left > before // 2):
             break
-        again = _salted(roots, ["band"], block).select("band", F.col("salt").cast("long").alias("block"), (F.col("n") > block).alias("split"), "key")
-        found, roots = _candidate_links(again, signed, least, block)
-        links, before = links.union(found), left
-    links = written(links.distinct(), "links")
+        again = _salted(roots, ["band"], block).select("band", F.xxhash64(F.lit(level), "salt").alias("block"), (F.col("n") > block).alias("split"), "key")
+        found, roots = _candidate_links(again, signed, least)
+        links, members, before = links.union(found), members.union(again.select("band", "block", "key")), left
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct().join(one.select("key", "rep"), "key")
     texts = source.join(ends, F.col("doc_id") == F.col("rep")).select("key", "text")
     sets = written(texts.mapInArrow(_shingles, "key binary, elements binary"), "shingles")
-    pairs = links.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
-    held = pairs.select("a", "b", "ea", "eb").mapInArrow(_verify(similarity), "a binary, b binary")
-    labels = components(held)
+    labels = _holding(links, members, signed, sets, similarity, least)
     least_id = labels.join(one.select(F.col("key").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = written(labels.join(least_id, "label").select(F.col("node").alias("key"), "class_id"), "classes")
     named = one.select("key", "rep").join(classes, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"))

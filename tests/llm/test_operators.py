@@ -255,6 +255,28 @@ def test_near_copies(spark, plain, docs, empty):
     assert neardup.near_duplicate_classes(empty).count() == 0 and neardup.keep_one_of_each(empty).count() == 0
 
 
+def test_a_link_beside_a_forests_that_fail(spark):
+    sets = {b"a": range(1, 11), b"b": [*range(1, 8), 11, 12, 13], b"c": [*range(1, 10), 20], b"d": range(50, 60)}  # only a and c are alike
+    sig = np.zeros(neardup.COORDINATES, "<u2").tobytes()
+    made = spark.createDataFrame([(k, sig, np.array(sorted(v), "<u4").tobytes()) for k, v in sets.items()], "key binary, sig binary, elements binary")
+    members = spark.createDataFrame([(1, 0, k) for k in sets], "band long, block long, key binary")
+    links = spark.createDataFrame([(1, 0, b"a", b"b"), (1, 0, b"b", b"c"), (1, 0, b"c", b"d")], neardup.LINKS)  # none of them holds
+    labels = neardup._holding(links, members, made.select("key", "sig"), made.select("key", "elements"), 0.8, 0.7)
+    assert {bytes(r.node): bytes(r.label) for r in labels.collect()} == {b"a": b"a", b"c": b"a"}
+
+
+def test_untried_members_of_other_classes():
+    r = np.random.default_rng(3)
+    sig = r.integers(0, 2, (12, 40)).astype("<u2")
+    label, tried = np.arange(12) % 5, np.zeros((12, 12), bool)
+    tried[0, 1] = tried[1, 0] = True
+    share = (sig[:, None] == sig[None]).mean(axis=2)
+    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if label[i] != label[j] and not tried[i, j] and share[i, j] >= 0.5}
+    assert neardup.across(sig, label, tried, 0.5, 12) == want
+    one, top = neardup.across(sig, label, tried, 0.5, 1), max(share[p] for p in want)
+    assert one <= want and len(one) <= 12 and any(share[p] == top for p in one)
+
+
 def test_signatures_estimate_similarity():
     a, b = prose(400, 5), " ".join([*prose(400, 5).split()[:300], *prose(400, 6).split()[:100]])
     import pyarrow as pa
