@@ -14,8 +14,8 @@ is a maximum spanning forest by agreement of signatures, of which the edges are
 links; the forests' roots of a split bucket meet again until one block holds them.
 Candidate links are then verified exactly on the shingles, and classes are the connected
 components of the links that hold. Where a link of a forest didn't hold, its block is gone
-through again: members name their nearest untried members of other classes, twice as many
-in each round, until none within reach is left. Pairs within a class are never emitted.
+through again: members name their nearest untried members of other classes, eight times as
+many in each round, until none within reach is left. Pairs within a class are never emitted.
 
 Defined results: words are runs of letters, digits and underscores in lower case; a text
 of one to four words has them as its only shingle; texts without words are in a class only
@@ -320,7 +320,7 @@ def _holding(links: DataFrame, members: DataFrame, signed: DataFrame, sets: Data
         pairs = some.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
         return written(pairs.select("a", "b", "ea", "eb").mapInArrow(_verify(similarity), "a binary, b binary, holds boolean"), "verified")
 
-    tried, each = verified(links.select("a", "b").distinct()), 1
+    tried, each = verified(links.select("a", "b").distinct()), 4
     labels = components(tried.where("holds"))
     open_ = links.join(tried.where("not holds"), ["a", "b"], "left_semi").select("band", "block").distinct()
     while True:
@@ -336,7 +336,7 @@ def _holding(links: DataFrame, members: DataFrame, signed: DataFrame, sets: Data
         now = verified(more.select("a", "b").distinct())
         if not now.where("holds").isEmpty():
             labels = components(tried.union(now).where("holds"))
-        tried, open_, each = tried.union(now), more.select("band", "block").distinct(), 2 * each
+        tried, open_, each = tried.union(now), more.select("band", "block").distinct(), 8 * each
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
