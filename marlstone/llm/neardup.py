@@ -11,11 +11,14 @@ Documents of the same words are one class from the start (by a 128-bit hash), so
 of them is banded. Documents that share a band's coordinates meet in a bucket. A bucket of
 more than `block` members is split by one more coordinate and then by a salt; each block
 is a maximum spanning forest by agreement of signatures, of which the edges are candidate
-links; the forests' roots of a split bucket meet again until one block holds them.
-Candidate links are then verified exactly on the shingles, and classes are the connected
-components of the links that hold. Where a link of a forest didn't hold, its block is gone
-through again: members name their nearest untried members of other classes, eight times as
-many in each round, until none within reach is left. Pairs within a class are never emitted.
+links. They are verified exactly on the shingles, and classes are the connected components
+of the links that hold. Where a link of a forest didn't hold in a bucket that wasn't split,
+the bucket is gone through again: members name their nearest untried members of other
+classes, eight times as many in each round, until none within reach is left. A split bucket
+is dealt anew, by class, into blocks of which every two meet in a task (and each meets
+itself), except two of one class; the task verifies every pair of different classes whose
+signatures agree enough, unless links that hold have joined the two meanwhile. So every
+pair that shares a band and agrees enough is tried or lies within a class.
 
 Defined results: words are runs of letters, digits and underscores in lower case; a text
 of one to four words has them as its only shingle; texts without words are in a class only
@@ -162,15 +165,17 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((lo + nth < np.searchsorted(b, a, "right")).sum())
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the weighted Jaccard similarity of two sorted bags is `similarity` at least."""
+    least, most = sorted((len(a), len(b)))
+    shared = common(a, b) if least >= similarity * most else 0
+    return shared >= similarity * (len(a) + len(b) - shared)
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                least, most = sorted((len(a), len(b)))
-                shared = common(a, b) if least >= similarity * most else 0
-                keep.append(shared >= similarity * (len(a) + len(b) - shared))
+            keep = [alike(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "holds"])
 
     return run
@@ -195,6 +200,8 @@ def forest(signatures: np.ndarray, least: float) -> tuple[list[tuple[int, int]],
     return edges, roots
 
 
+#: The side of all rows of a block that meets itself.
+WITHIN = 2
 LINKS = "band long, block long, a binary, b binary"
 
 
@@ -239,24 +246,20 @@ def _by_block(blocks: Callable[[pa.Table], pa.RecordBatch]):
 
 
 def _link(least: float):
-    """The candidate links of each block, and its roots (b is null) where the bucket was split."""
+    """The candidate links of each block."""
 
     def blocks(table: pa.Table) -> pa.RecordBatch:
         band, block, sig = table["band"].to_numpy(), table["block"].to_numpy(), _signatures(table)
-        split, keys = table["split"].to_pylist(), table["key"].to_pylist()
+        keys = table["key"].to_pylist()
         first, size = _starts(table)
         rows: list[tuple] = []
         two = first[size == 2]
         for i, share in zip(two.tolist(), (sig[two] == sig[two + 1]).mean(axis=1).tolist(), strict=True):
             if share >= least:
                 rows.append((band[i], block[i], *sorted((keys[i], keys[i + 1]))))
-            if split[i]:
-                rows += [(band[i], block[i], keys[j], None) for j in ([i] if share >= least else [i, i + 1])]
-        for i, m in zip(first[size != 2].tolist(), size[size != 2].tolist(), strict=True):
-            edges, roots = forest(sig[i : i + m], least) if m > 1 else ([], [0])
+        for i, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            edges, _ = forest(sig[i : i + m], least)
             rows += [(band[i], block[i], *sorted((keys[i + a], keys[i + b]))) for a, b in edges]
-            if split[i]:
-                rows += [(band[i], block[i], keys[i + r], None) for r in roots]
         return _links(rows)
 
     return _by_block(blocks)
@@ -295,12 +298,83 @@ def _untried(least: float, each: int):
     return _by_block(blocks)
 
 
-def _candidate_links(members: DataFrame, signed: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """members (band, block, split, key): (links (band, block, a, b), roots (band, key) of split buckets)."""
-    rows = members.join(signed, "key").select("band", "block", "split", "key", "sig")
+def joining(signatures: np.ndarray, elements: list[np.ndarray], label: np.ndarray, side: np.ndarray, nth: int, similarity: float, least: float) -> list[tuple[int, int]]:
+    """Links that hold and join all labels that such links between the sides join (between any rows if all are of side WITHIN).
+
+    Tried are the pairs of rows whose first common band is the nth (the others meet in that
+    one) and whose signatures agree on a share of `least` at least.
+    """
+    parent = list(range(int(label.max()) + 1))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links, at = [], np.arange(len(label))
+    for i in range(len(label)):
+        others = np.flatnonzero((at > i) & (label != label[i]) & ((side != side[i]) | (side == WITHIN)))
+        equal = signatures[others] == signatures[i]
+        share = equal.mean(axis=1)
+        close = np.flatnonzero(share >= least)
+        close = close[~equal[close, : nth * ROWS].reshape(len(close), nth, ROWS).all(axis=2).any(axis=1)]
+        for j in others[close[np.argsort(-share[close], kind="stable")]].tolist():
+            x, y = top(label[i]), top(label[j])
+            if x != y and alike(elements[i], elements[j], similarity):
+                parent[x] = y
+                links.append((i, j))
+    return links
+
+
+def _joining(similarity: float, least: float):
+    """joining on each pair of blocks."""
+
+    def blocks(table: pa.Table) -> pa.RecordBatch:
+        band, block, sig, keys = table["band"].to_numpy(), table["block"].to_numpy(), _signatures(table), table["key"].to_pylist()
+        side, nth, names = table["side"].to_numpy(), table["nth"].to_numpy(), table["label"].to_pylist()
+        rows: list[tuple] = []
+        for i, m in zip(*(x.tolist() for x in _starts(table)), strict=True):
+            label = np.unique(np.array([x.hex() for x in names[i : i + m]]), return_inverse=True)[1]
+            elements = [np.frombuffer(x, "<u4") for x in table["elements"].slice(i, m).to_pylist()]
+            found = joining(sig[i : i + m], elements, label, side[i : i + m], int(nth[i]), similarity, least)
+            rows += [(band[i], block[i], *sorted((keys[i + a], keys[i + b]))) for a, b in found]
+        return _links(rows)
+
+    return _by_block(blocks)
+
+
+def _links_across(hot: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, block: int, similarity: float, least: float) -> DataFrame:
+    """Links (a, b) that hold and join the classes of labels (node, label) in each bucket of hot (band, nth, key).
+
+    A class of more than `block` members of a bucket has blocks of its own, smaller ones
+    share blocks. Two blocks of one class don't meet.
+    """
+    rows = hot.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "nth", "key", F.coalesce("label", "key").alias("label"))
+    rows = written(rows, "classed")
+    sizes = written(rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    buckets = sizes.groupBy("band").agg(F.sum(F.when(F.col("n") <= block, F.col("n"))).alias("rest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    own = F.col("n") > block
+    classes = sizes.join(buckets, "band").select(F.col("band").alias("_band"), F.col("label").alias("_label"), "n", "rest")
+    dealt = rows.join(classes, (F.col("band") == F.col("_band")) & (F.col("label") == F.col("_label")))
+    at = F.when(own, F.xxhash64("label", F.pmod(F.xxhash64("key", "band"), F.ceil(F.col("n") / block)))).otherwise(F.pmod(F.xxhash64("label", "band"), F.ceil(F.col("rest") / block)))
+    dealt = written(dealt.select("band", "nth", "key", "label", at.alias("at"), F.when(own, F.col("label")).alias("pure")), "dealt")
+    blocks = written(dealt.select("band", "at", "pure").distinct(), "blocks")
+    other = blocks.select(F.col("band").alias("_band"), F.col("at").alias("_at"), F.col("pure").alias("_pure"))
+    pairs = blocks.join(other, (F.col("band") == F.col("_band")) & (F.col("at") <= F.col("_at")) & F.coalesce(F.col("pure") != F.col("_pure"), F.lit(True)))
+    side = lambda at, n: F.struct(F.col(at).alias("at"), F.lit(n).alias("side"))
+    sides = F.when(F.col("at") == F.col("_at"), F.array(side("at", WITHIN))).otherwise(F.array(side("at", 0), side("_at", 1)))
+    meet = pairs.select("band", F.xxhash64("at", "_at").alias("block"), F.explode(sides).alias("x")).select(F.col("band").alias("_band"), "block", F.col("x.at").alias("_at"), "x.side")
+    wide = dealt.join(signed, "key").join(sets, "key")
+    met = wide.join(written(meet, "meet"), (F.col("band") == F.col("_band")) & (F.col("at") == F.col("_at")))
+    met = met.select("band", "block", "nth", "side", "key", "label", "sig", "elements").repartition("band", "block").sortWithinPartitions("band", "block", "key")
+    return written(met.mapInArrow(_joining(similarity, least), LINKS), "across").select("a", "b").distinct()
+
+
+def _candidate_links(members: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """members (band, block, key): links (band, block, a, b)."""
+    rows = members.join(signed, "key").select("band", "block", "key", "sig")
     rows = rows.repartition("band", "block").sortWithinPartitions("band", "block", "key")
-    found = written(rows.mapInArrow(_link(least), LINKS), "candidates")
-    return found.where("b is not null"), found.where("b is null").select("band", F.col("a").alias("key"))
+    return written(rows.mapInArrow(_link(least), LINKS), "candidates")
 
 
 def _salted(members: DataFrame, by: list[str], block: int) -> DataFrame:
@@ -311,7 +385,7 @@ def _salted(members: DataFrame, by: list[str], block: int) -> DataFrame:
 
 
 def _holding(links: DataFrame, members: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float, least: float) -> DataFrame:
-    """(node, label): the classes of the links (band, block, a, b) that hold, and of those that hold instead of links that don't.
+    """(node, label): the classes of the links (band, block, a, b) that hold, and of those in the blocks of members that hold instead of links that don't.
 
     Every end of a later candidate has a link of the forest, so sets (key, elements) has it.
     """
@@ -348,28 +422,21 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, b
     signed = one.where("sig is not null and rep is not null").select("key", "sig")
     band = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 1 + b * 2 * ROWS, 2 * ROWS))
     more = lambda b: F.xxhash64(F.substring("sig", 1 + (b * 2 * ROWS + 2 * ROWS) % (2 * COORDINATES), 2))
-    banded = signed.select("key", F.explode(F.array(*[F.struct(band(b).alias("band"), more(b).alias("more")) for b in range(BANDS)])).alias("x")).select("key", "x.band", "x.more")
+    each = [F.struct(band(b).alias("band"), F.lit(b).alias("nth"), more(b).alias("more")) for b in range(BANDS)]
+    banded = signed.select("key", F.explode(F.array(*each)).alias("x")).select("key", "x.band", "x.nth", "x.more")
     meeting = written(_salted(banded, ["band"], block), "meeting")
-    small = meeting.where(F.col("n") <= block).select("band", F.lit(0).cast("long").alias("block"), F.lit(False).alias("split"), "key")
-    large = _salted(meeting.where(F.col("n") > block).select("band", "more", "key"), ["band", "more"], block)
-    alone = meeting.where(F.col("n") > block).select("band", "key")  # a bucket's rows that share no further coordinate meet with the roots
-    first = small.union(large.select("band", F.xxhash64("more", "salt"), F.lit(True), "key"))
-    links, roots = _candidate_links(first, signed, least)
-    members = first.select("band", "block", "key")
-    roots = roots.union(alone.join(large.select("band", "key"), ["band", "key"], "left_anti"))
-    before, level = None, 0
-    while True:
-        roots, level = written(roots, "roots"), level + 1
-        left = roots.count()
-        if not left or (before is not None and left > before // 2):
-            break
-        again = _salted(roots, ["band"], block).select("band", F.xxhash64(F.lit(level), "salt").alias("block"), (F.col("n") > block).alias("split"), "key")
-        found, roots = _candidate_links(again, signed, least)
-        links, members, before = links.union(found), members.union(again.select("band", "block", "key")), left
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).distinct().join(one.select("key", "rep"), "key")
+    small = meeting.where(F.col("n") <= block).select("band", F.lit(0).cast("long").alias("block"), "key")
+    hot = meeting.where(F.col("n") > block).select("band", "nth", "more", "key")
+    large = _salted(hot, ["band", "more"], block).select("band", F.xxhash64("more", "salt").alias("block"), "key")
+    links = _candidate_links(small.union(large), signed, least)
+    ends = links.select(F.col("a").alias("key")).union(links.select("b")).union(hot.select("key")).distinct().join(one.select("key", "rep"), "key")
     texts = source.join(ends, F.col("doc_id") == F.col("rep")).select("key", "text")
     sets = written(texts.mapInArrow(_shingles, "key binary, elements binary"), "shingles")
-    labels = _holding(links, members, signed, sets, similarity, least)
+    labels = _holding(links, small, signed, sets, similarity, least)
+    if not hot.isEmpty():
+        across_ = _links_across(hot.select("band", "nth", "key"), signed, sets, labels, block, similarity, least)
+        if not across_.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across_))
     least_id = labels.join(one.select(F.col("key").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = written(labels.join(least_id, "label").select(F.col("node").alias("key"), "class_id"), "classes")
     named = one.select("key", "rep").join(classes, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"))
