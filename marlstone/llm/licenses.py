@@ -8,7 +8,12 @@ variants calibrates its probabilities; a family below LEAST_PROBABILITY is unkno
 is one of which no notice shares enough word pairs with the paragraph.
 
 A paragraph is a line, or a window of WINDOW words of a longer one, each starting half a
-window on. One without any of the SIGNS is "none" without being scored: every notice has one.
+window on. It is scored if it has one of the SIGNS, one of the NAMES or a word of the
+notices of which any paragraph that shares enough word pairs with a notice has one. So no
+listed family that the classifier would accept is passed over; "unknown" needs a sign or a
+name, since the classifier alone takes some text of invented words for licences. Where it
+finds no family in a paragraph that names a licence, the first name says it (AGPL is
+unknown). MIT and ISC count as names beside "licence" or "Lizenz", or as the whole paragraph.
 
 Defined results: null text is empty; documents without licences get an empty string; every
 row is scanned on its own, so null or repeated doc_ids don't matter; an empty table gives
@@ -89,8 +94,23 @@ OTHER = (
     "Licensed under the {} License.", "Released under the {} License, version {}.", "This work is licensed under the {} Public License.", "Distributed under the terms of the {} licence agreement.",
     "Use is subject to the {} Commercial License.", "SPDX-License-Identifier: {}-{}.0", "Copyright (c) the {} authors. All rights reserved under the {} license.",
 )
-SIGNS = r"(?i)licen[sc]|copyright|permission|redistribut|public domain|creative commons|\bcc[ -]by|\bgpl|\bspdx|\bcc0"
+SIGNS = r"(?i)licen[sc]|lizen[sz]|copyright|permission|redistribut|public domain|creative commons|\bcc[ -]by|\bgpl|\bspdx|\bcc0"
 NONE, UNKNOWN = "none", "unknown"
+_LICENCE = r"(?:[ -](?:public[ -])?(?:licen[sc]e|lizenz))"
+#: Bare names, as manifests and German texts have them.
+NAMES = {
+    "apache-2.0": rf"\bapache(?:[ -]software)?(?:{_LICENCE}?,?[ -](?:version |v\.? ?)?2(?:\.0)?\b|{_LICENCE})",
+    "mpl-2.0": rf"\bmpl[ -]?(?:version |v\.? ?)?2(?:\.0)?\b|\bmozilla{_LICENCE}",
+    "bsd": rf"\bbsd(?:[ -][0234][ -]clause|{_LICENCE})|\b[0234][ -]clause[ -]bsd\b",
+    UNKNOWN: r"\bagpl|\baffero\b",
+    "lgpl": r"\blgpl",
+    "gpl": r"\bgpl",
+    "mit": rf"\bmit{_LICENCE}",
+    "isc": rf"\bisc{_LICENCE}",
+}
+#: Every name has one of these.
+_HINTS = ("apache", "mpl", "mozilla", "bsd", "gpl", "affero", "mit", "isc")
+_NAMED = [*((f, re.compile(r, re.I)) for f, r in NAMES.items()), ("mit", re.compile(r"^\W*MIT\W*$")), ("isc", re.compile(r"^\W*ISC\W*$"))]
 CLASSES = (NONE, UNKNOWN, *NOTICES)
 WINDOW = 60
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.6
@@ -125,6 +145,25 @@ def training_paragraphs(seed: int = 3) -> list[tuple[str, str]]:
     return out
 
 
+def named(paragraph: str) -> str | None:
+    """The family (or unknown) of the first licence name in the paragraph."""
+    low = paragraph.lower()
+    if not any(h in low for h in _HINTS):
+        return None
+    found = [(m.start(), f) for f, r in _NAMED if (m := r.search(paragraph))]
+    return min(found)[1] if found else None
+
+
+def covering(pairs: set[tuple[str, str]]) -> set[str]:
+    """The longest words that are in so many of the pairs that less than LEAST_SHARED of them have none."""
+    chosen: set[str] = set()
+    for w in sorted({w for p in pairs for w in p}, key=lambda w: (-len(w), w)):
+        if sum(not chosen & set(p) for p in pairs) < LEAST_SHARED * len(pairs):
+            break
+        chosen.add(w)
+    return chosen
+
+
 class Classifier:
     """Trained on the driver, in seconds, on the fixed recipe above; no corpus text enters."""
 
@@ -146,6 +185,7 @@ class Classifier:
         self.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
         self.held_out = float((scores.argmax(1) == y[held]).mean())
         self.pairs = {f: [self._pairs(n) for n in notices] for f, notices in NOTICES.items()}
+        self.clues = sorted({w for notices in self.pairs.values() for n in notices for w in covering(n)})
 
     def _row(self, bag: set[str]) -> np.ndarray:
         row = np.zeros(len(self.places), np.float32)
@@ -204,18 +244,26 @@ def scan(text: str, classifier: Classifier) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     signs = re.compile(SIGNS)
     for start, end in paragraphs(text):
-        if not signs.search(text, start, end):
-            continue
-        name, _ = classifier(text[start:end])
+        paragraph = text[start:end]
+        signed, says = signs.search(paragraph), named(paragraph)
+        if not signed and not says:
+            low = paragraph.lower()
+            if not any(w in low for w in classifier.clues):
+                continue
+        name, _ = classifier(paragraph)
+        if name in (NONE, UNKNOWN):
+            name = says or (name if signed else NONE)
         if name != NONE and not any(s < end and start < e and f == name for s, e, f in out[-2:]):
             out.append((start, end, name))
     return out
 
 
 def _scan(classifier: Classifier):
+    some_sign = "|".join([SIGNS, *_HINTS, *map(re.escape, classifier.clues)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = pc.match_substring_regex(batch["text"], SIGNS).to_pylist()
+            signed = pc.match_substring_regex(batch["text"], some_sign).to_pylist()
             rows = []
             for at, some in enumerate(signed):
                 found = scan(batch["text"][at].as_py(), classifier) if some else []
