@@ -52,3 +52,11 @@ def test_copies_among_many_unlike_texts_that_share_a_band(spark, monkeypatch):
     band = lambda a, b: any((a[n : n + neardup.ROWS] == b[n : n + neardup.ROWS]).all() for n in (0, neardup.ROWS))
     near = lambda a, b: band(a, b) and (a == b).mean() >= neardup.SIMILARITY - neardup.MARGIN
     assert classes(spark, texts, block=2) == classes_of(texts, near)
+
+
+def test_copies_in_other_blocks_of_a_family_around_the_limit(spark):
+    base, texts, r = prose(250, 7), [], np.random.default_rng(5)
+    for k in range(110):  # most of the family's pairs lie between 0.7 and 0.8, where links of a forest fail
+        w = changed(base, r.choice(250, 4, replace=False), f"edit{k}x")
+        texts += [" ".join(w), " ".join(changed(w, r.choice(250, 4, replace=False), f"more{k}x"))]
+    assert classes(spark, texts, block=4) == classes_of(texts)
