@@ -10,7 +10,7 @@ of the target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.values import field_values
@@ -30,19 +30,13 @@ def keyed(df: DataFrame, path: str, prefix: str) -> DataFrame:
 def _containing(local: DataFrame, foreign: DataFrame) -> DataFrame:
     """Pairs whose foreign key contains the local one, as an equi-join on substrings.
 
-    Only substrings of the lengths that local keys have are made; how many lengths there are
-    is bounded by the longest foreign key.
+    Only substrings of the lengths that local keys have are made. The lengths are a table
+    that meets the foreign keys which are long enough.
     """
-    lengths = [r[0] for r in local.select(F.length("l_key").alias("n")).distinct().where("n > 0").limit(1024).collect()]
-    if not lengths:
-        return local.join(foreign.limit(0), F.lit(False))
-    of = F.col("f_key")
-
-    def cuts(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(of) - n + 1))
-        return F.when(F.length(of) >= n, F.transform(places, lambda i: F.substring(of, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    parts = foreign.withColumn("part", F.explode(F.array_distinct(F.flatten(F.array(*[cuts(n) for n in lengths])))))
+    lengths = local.select(F.length("l_key").alias("n")).distinct().where("n > 0")
+    of, n = F.col("f_key"), F.col("n")
+    places = F.sequence(F.lit(1), F.length(of) - n + 1)
+    parts = foreign.join(lengths, n <= F.length(of)).withColumn("part", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(of, i, n))))).drop("n")
     return local.join(parts, F.col("l_key") == F.col("part")).drop("part")
 
 
