@@ -11,19 +11,23 @@ Documents of the same words are one class from the start (by a 128-bit hash), so
 of them is banded. Documents that share a band's coordinates meet in a bucket. A bucket of
 more than `block` members is split by one more coordinate and then by a salt; each block
 is a maximum spanning forest by agreement of signatures, of which the edges are candidate
-links. They are verified exactly on the shingles, and classes are the connected components
-of the links that hold. Where a link of a forest didn't hold in a bucket that wasn't split,
-the bucket is gone through again: members name their nearest untried members of other
-classes, eight times as many in each round, until none within reach is left. A split bucket
-is dealt anew, by class, into blocks of which every two meet in a task (and each meets
-itself), except two of one class; the task verifies every pair of different classes whose
-signatures agree enough, unless links that hold have joined the two meanwhile. So every
-pair that shares a band and agrees enough is tried or lies within a class.
+links. They are verified on the 64-bit hashes of all shingles, and classes are the
+connected components of the links that hold. That leaves the pairs of a bucket which agree
+enough but whose forest links didn't hold. They are never listed: a first task per block
+finds the members that have such a pair, from signatures alone, and a second one gets those
+members' shingles, verifies their pairs and returns only the links that join classes, at
+most one less than members. A bucket that wasn't split goes through both as it is, if some
+link of it failed. A split one is dealt anew, by class, into blocks of which every two meet
+(and each meets itself), except two of one class. A pair is tried in its first common
+bucket only. So every pair that shares a band and agrees enough is tried or lies within a
+class.
 
 Defined results: words are runs of letters, digits and underscores in lower case; a text
 of one to four words has them as its only shingle; texts without words are in a class only
-with their exact copies; null text is empty; rows without doc_id are linked only as exact
-copies, and a class of only such rows has a null class_id; an empty table gives no rows.
+with their exact copies; null text is empty; a text of any length is one set, and so are
+rows that repeat an id with another text; rows without doc_id are linked only as exact
+copies, and a class of only such rows has a null class_id; columns besides doc_id and text
+are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,15 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import spare, text_or_empty, written
+from marlstone.llm.common import release, spare, text_digest, text_or_empty, written
 from marlstone.llm.components import components
 from marlstone.llm.tokenizing import ragged
+from marlstone.shipping import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
-BLOCK = 512
+BLOCK = 1024
 #: How far below the similarity the signatures' agreement may lie (over three standard deviations).
 MARGIN = 0.1
 _U = np.uint64
@@ -117,7 +122,7 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, docs: int, k: int = CO
     return np.where(weight[:, None] > 0, best.reshape(docs, k) & _U(0xFFFF), _U(0)).astype("<u2")
 
 
-def _groups(batch: pa.RecordBatch, column: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _groups(batch: pa.RecordBatch, column: int, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     cuts = [0, *(np.flatnonzero(np.diff(size // limit)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -135,47 +140,51 @@ def content_keys(texts: pa.Array, hashes: np.ndarray, offsets: np.ndarray) -> li
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in _groups(whole, 1):
-            texts = batch.column(1)
+        for batch in _groups(whole, 2):
+            texts = batch.column(2)
             hashes, offsets = word_hashes(texts)
             doc, element = shingle_elements(hashes, offsets)
             signature = dart_signatures(doc, element, len(texts))
             some = np.diff(offsets) > 0
             signed = [row.tobytes() if s else None for row, s in zip(signature, some, strict=True)]
             keys = content_keys(texts, hashes, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "digest", "key", "sig"])
+    release()
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, elements): sorted 32-bit hashes; rows whose text isn't the key's are left out."""
+    """(key, elements): sorted 64-bit hashes."""
     for whole in batches:
         for batch in _groups(whole, 1):
-            hashes, offsets = word_hashes(batch.column(1))
-            doc, element = shingle_elements(hashes, offsets)
+            doc, element = shingle_elements(*word_hashes(batch.column(1)))
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            keys, asked = content_keys(batch.column(1), hashes, offsets), batch.column(0).to_pylist()
-            rows = [(k, np.sort((element[a:b] >> _U(32)).astype("<u4")).tobytes()) for k, q, a, b in zip(keys, asked, ends[:-1], ends[1:], strict=True) if k == q]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["key", "elements"])
+            rows = [np.sort(element[a:b]).astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["key", "elements"])
+    release()
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two sorted bags share."""
-    lo, at = np.searchsorted(b, a, "left"), np.searchsorted(a, a, "left")
-    nth = np.arange(len(a)) - at
-    return int((lo + nth < np.searchsorted(b, a, "right")).sum())
+def _elements(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the weighted Jaccard similarity of two sorted bags is `similarity` at least."""
-    least, most = sorted((len(a), len(b)))
-    shared = common(a, b) if least >= similarity * most else 0
-    return shared >= similarity * (len(a) + len(b) - shared)
+def alike(own: np.ndarray, others: list[np.ndarray], similarity: float, at_once: int = 1_000_000) -> np.ndarray:
+    """Of which of the sorted sets the Jaccard similarity to the own one is `similarity` at least."""
+    size = np.fromiter(map(len, others), np.int64, len(others))
+    holds = np.minimum(size, len(own)) >= similarity * np.maximum(size, len(own))
+    fits = np.flatnonzero(holds)
+    for some in np.split(fits, np.flatnonzero(np.diff(np.cumsum(size[fits]) // at_once)) + 1):
+        if len(some):
+            flat = np.concatenate([others[j] for j in some])
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            shared = np.add.reduceat(found.astype(np.int64), np.cumsum(size[some]) - size[some])
+            holds[some] = shared >= similarity * (len(own) + size[some] - shared)
+    return holds
 
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4"), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [bool(alike(x, [y], similarity)[0]) for x, y in zip(_elements(batch.column(2)), _elements(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "holds"])
 
     return run
@@ -265,92 +274,99 @@ def _link(least: float):
     return _by_block(blocks)
 
 
-def across(signatures: np.ndarray, label: np.ndarray, tried: np.ndarray, least: float, each: int) -> set[tuple[int, int]]:
-    """For every row its `each` nearest among the untried rows of other labels that it agrees with on a share of `least` at least."""
-    pairs = set()
-    for i in range(len(signatures)):
-        open_ = np.flatnonzero((label != label[i]) & ~tried[i])
-        share = (signatures[open_] == signatures[i]).mean(axis=1)
-        nearest = np.argsort(-share, kind="stable")[:each]
-        pairs |= {(min(i, j), max(i, j)) for j in open_[nearest[share[nearest] >= least]].tolist()}
-    return pairs
+def reachable(i: int, signatures: np.ndarray, label: np.ndarray, side: np.ndarray, nth: int, least: float) -> np.ndarray:
+    """The later rows of other labels, of another side (or any if all are of side WITHIN), that row i meets here.
 
+    Those are the rows whose signatures agree with its own on a share of `least` at least
+    and whose first common band is the nth; the others meet in that one.
+    """
+    others = np.flatnonzero((label != label[i]) & ((side != side[i]) | (side == WITHIN)))
+    others = others[others > i]
+    equal = signatures[others] == signatures[i]
+    close = np.flatnonzero(equal.mean(axis=1) >= least)
+    return others[close[~equal[close, : nth * ROWS].reshape(len(close), nth, ROWS).all(axis=2).any(axis=1)]]
 
-def _untried(least: float, each: int):
-    """Candidate links between the classes of each block, besides those that have been tried in vain."""
 
-    def blocks(table: pa.Table) -> pa.RecordBatch:
-        band, block, sig = table["band"].to_numpy(), table["block"].to_numpy(), _signatures(table)
-        keys, names, without = table["key"].to_pylist(), table["label"].to_pylist(), table["without"].to_pylist()
-        rows: list[tuple] = []
-        for i, m in zip(*(x.tolist() for x in _starts(table)), strict=True):
-            if m < 3:
-                continue
-            place = {k: n for n, k in enumerate(keys[i : i + m])}
-            tried = np.zeros((m, m), bool)
-            for n, others in enumerate(without[i : i + m]):
-                tried[n, [place[k] for k in others or () if k in place]] = True
-            label = np.unique(np.array([x.hex() for x in names[i : i + m]]), return_inverse=True)[1]
-            found = across(sig[i : i + m], label, tried, least, each)
-            rows += [(band[i], block[i], *sorted((keys[i + a], keys[i + b]))) for a, b in sorted(found)]
-        return _links(rows)
-
-    return _by_block(blocks)
+def meeting(signatures: np.ndarray, label: np.ndarray, side: np.ndarray, nth: int, least: float) -> np.ndarray:
+    """Which rows meet another one."""
+    some = np.zeros(len(label), bool)
+    for i in range(len(label)):
+        others = reachable(i, signatures, label, side, nth, least)
+        some[others] = True
+        some[i] |= len(others) > 0
+    return some
 
 
 def joining(signatures: np.ndarray, elements: list[np.ndarray], label: np.ndarray, side: np.ndarray, nth: int, similarity: float, least: float) -> list[tuple[int, int]]:
-    """Links that hold and join all labels that such links between the sides join (between any rows if all are of side WITHIN).
-
-    Tried are the pairs of rows whose first common band is the nth (the others meet in that
-    one) and whose signatures agree on a share of `least` at least.
-    """
-    parent = list(range(int(label.max()) + 1))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    links, at = [], np.arange(len(label))
+    """Links that hold and join all labels that links between rows which meet here join."""
+    links, label = [], label.copy()
     for i in range(len(label)):
-        others = np.flatnonzero((at > i) & (label != label[i]) & ((side != side[i]) | (side == WITHIN)))
-        equal = signatures[others] == signatures[i]
-        share = equal.mean(axis=1)
-        close = np.flatnonzero(share >= least)
-        close = close[~equal[close, : nth * ROWS].reshape(len(close), nth, ROWS).all(axis=2).any(axis=1)]
-        for j in others[close[np.argsort(-share[close], kind="stable")]].tolist():
-            x, y = top(label[i]), top(label[j])
-            if x != y and alike(elements[i], elements[j], similarity):
-                parent[x] = y
+        others = reachable(i, signatures, label, side, nth, least)
+        for j in others[alike(elements[i], [elements[j] for j in others], similarity)].tolist():
+            if label[j] != label[i]:
                 links.append((i, j))
+                label[label == label[j]] = label[i]
     return links
 
 
+def _numbered(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Of each block: where it begins, its size, its labels as numbers, its sides and its band's number."""
+    for i, m in zip(*(x.tolist() for x in _starts(table)), strict=True):
+        label = np.unique(np.array([x.hex() for x in table["label"].slice(i, m).to_pylist()]), return_inverse=True)[1]
+        yield i, m, label, table["side"].slice(i, m).to_numpy(), table["nth"][i].as_py()
+
+
+def _meeting(least: float):
+    """The rows of each block that meet another one of it."""
+
+    def blocks(table: pa.Table) -> pa.RecordBatch:
+        sig = _signatures(table)
+        found = [meeting(sig[i : i + m], label, side, nth, least) for i, m, label, side, nth in _numbered(table)]
+        kept = table.filter(pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], kept.schema.names)
+
+    return _by_block(blocks)
+
+
 def _joining(similarity: float, least: float):
-    """joining on each pair of blocks."""
+    """joining in each block."""
 
     def blocks(table: pa.Table) -> pa.RecordBatch:
         band, block, sig, keys = table["band"].to_numpy(), table["block"].to_numpy(), _signatures(table), table["key"].to_pylist()
-        side, nth, names = table["side"].to_numpy(), table["nth"].to_numpy(), table["label"].to_pylist()
         rows: list[tuple] = []
-        for i, m in zip(*(x.tolist() for x in _starts(table)), strict=True):
-            label = np.unique(np.array([x.hex() for x in names[i : i + m]]), return_inverse=True)[1]
-            elements = [np.frombuffer(x, "<u4") for x in table["elements"].slice(i, m).to_pylist()]
-            found = joining(sig[i : i + m], elements, label, side[i : i + m], int(nth[i]), similarity, least)
+        for i, m, label, side, nth in _numbered(table):
+            found = joining(sig[i : i + m], _elements(table["elements"].slice(i, m)), label, side, nth, similarity, least)
             rows += [(band[i], block[i], *sorted((keys[i + a], keys[i + b]))) for a, b in found]
         return _links(rows)
 
     return _by_block(blocks)
 
 
-def _links_across(hot: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, block: int, similarity: float, least: float) -> DataFrame:
-    """Links (a, b) that hold and join the classes of labels (node, label) in each bucket of hot (band, nth, key).
+def _settled(labels: DataFrame, met: DataFrame, sets: DataFrame, similarity: float, least: float) -> DataFrame:
+    """labels (node, label) after the pairs that meet in the blocks of met (band, block, nth, side, key, label, sig) have been verified."""
+    columns = "band long, block long, nth int, side int, key binary, label binary, sig binary"
+    met = met.select("band", "block", "nth", "side", "key", "label", "sig").repartition("band", "block").sortWithinPartitions("band", "block", "key")
+    open_ = written(met.mapInArrow(_meeting(least), columns), "open")
+    if open_.isEmpty():
+        return labels
+    whole = open_.join(sets, "key").repartition("band", "block").sortWithinPartitions("band", "block", "key")
+    links = written(whole.mapInArrow(_joining(similarity, least), LINKS), "joined")
+    if links.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links.select("a", "b")))
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def _met_across(hot: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of each bucket of hot (band, nth, key), as (band, block, nth, side, key, label).
 
     A class of more than `block` members of a bucket has blocks of its own, smaller ones
     share blocks. Two blocks of one class don't meet.
     """
-    rows = hot.join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "nth", "key", F.coalesce("label", "key").alias("label"))
-    rows = written(rows, "classed")
+    rows = written(_labelled(hot, labels).select("band", "nth", "key", "label"), "classed")
     sizes = written(rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")), "sizes")
     buckets = sizes.groupBy("band").agg(F.sum(F.when(F.col("n") <= block, F.col("n"))).alias("rest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     own = F.col("n") > block
@@ -364,10 +380,8 @@ def _links_across(hot: DataFrame, signed: DataFrame, sets: DataFrame, labels: Da
     side = lambda at, n: F.struct(F.col(at).alias("at"), F.lit(n).alias("side"))
     sides = F.when(F.col("at") == F.col("_at"), F.array(side("at", WITHIN))).otherwise(F.array(side("at", 0), side("_at", 1)))
     meet = pairs.select("band", F.xxhash64("at", "_at").alias("block"), F.explode(sides).alias("x")).select(F.col("band").alias("_band"), "block", F.col("x.at").alias("_at"), "x.side")
-    wide = dealt.join(signed, "key").join(sets, "key")
-    met = wide.join(written(meet, "meet"), (F.col("band") == F.col("_band")) & (F.col("at") == F.col("_at")))
-    met = met.select("band", "block", "nth", "side", "key", "label", "sig", "elements").repartition("band", "block").sortWithinPartitions("band", "block", "key")
-    return written(met.mapInArrow(_joining(similarity, least), LINKS), "across").select("a", "b").distinct()
+    met = dealt.join(written(meet, "meet"), (F.col("band") == F.col("_band")) & (F.col("at") == F.col("_at")))
+    return met.select("band", "block", "nth", "side", "key", "label")
 
 
 def _candidate_links(members: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -384,72 +398,60 @@ def _salted(members: DataFrame, by: list[str], block: int) -> DataFrame:
     return members.join(sizes, [F.col(c) == F.col(f"_{c}") for c in by]).select(*members.columns, "n", salt.alias("salt"))
 
 
-def _holding(links: DataFrame, members: DataFrame, signed: DataFrame, sets: DataFrame, similarity: float, least: float) -> DataFrame:
-    """(node, label): the classes of the links (band, block, a, b) that hold, and of those in the blocks of members that hold instead of links that don't.
-
-    Every end of a later candidate has a link of the forest, so sets (key, elements) has it.
-    """
-
-    def verified(some: DataFrame) -> DataFrame:
-        pairs = some.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
-        return written(pairs.select("a", "b", "ea", "eb").mapInArrow(_verify(similarity), "a binary, b binary, holds boolean"), "verified")
-
-    tried, each = verified(links.select("a", "b").distinct()), 4
-    labels = components(tried.where("holds"))
-    open_ = links.join(tried.where("not holds"), ["a", "b"], "left_semi").select("band", "block").distinct()
-    while True:
-        failed = tried.where("not holds")
-        without = failed.select(F.col("a").alias("key"), "b").union(failed.select("b", "a")).groupBy("key").agg(F.collect_set("b").alias("without"))
-        near = members.join(written(open_, "open"), ["band", "block"], "left_semi").join(signed, "key")
-        near = near.join(labels.withColumnRenamed("node", "key"), "key", "left").join(without, "key", "left")
-        near = near.select("band", "block", "key", "sig", F.coalesce("label", "key").alias("label"), "without")
-        near = near.repartition("band", "block").sortWithinPartitions("band", "block", "key")
-        more = written(near.mapInArrow(_untried(least, each), LINKS), "candidates")
-        if more.isEmpty():
-            return labels
-        now = verified(more.select("a", "b").distinct())
-        if not now.where("holds").isEmpty():
-            labels = components(tried.union(now).where("holds"))
-        tried, open_, each = tried.union(now), more.select("band", "block").distinct(), 8 * each
-
-
-def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest doc_id of the document's class."""
+def _classed(docs: DataFrame, similarity: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, key), and (key, rep_id, rep_digest, label): the least row of each key and the key's class."""
+    ship(docs.sparkSession)
     least = similarity - MARGIN
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = written(source.mapInArrow(_sign, "doc_id long, key binary, sig binary"), "signed")
-    one = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "distinct")
-    signed = one.where("sig is not null and rep is not null").select("key", "sig")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), text_or_empty().alias("text"))
+    rows = written(source.mapInArrow(_sign, "doc_id long, digest binary, key binary, sig binary"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep")
+    one = written(rows.groupBy("key").agg(first, F.first("sig").alias("sig")).select("key", F.col("rep.doc_id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"), "sig"), "distinct")
+    signed = one.where("sig is not null and rep_id is not null").select("key", "sig")
     band = lambda b: F.xxhash64(F.lit(b), F.substring("sig", 1 + b * 2 * ROWS, 2 * ROWS))
     more = lambda b: F.xxhash64(F.substring("sig", 1 + (b * 2 * ROWS + 2 * ROWS) % (2 * COORDINATES), 2))
     each = [F.struct(band(b).alias("band"), F.lit(b).alias("nth"), more(b).alias("more")) for b in range(BANDS)]
     banded = signed.select("key", F.explode(F.array(*each)).alias("x")).select("key", "x.band", "x.nth", "x.more")
-    meeting = written(_salted(banded, ["band"], block), "meeting")
-    small = meeting.where(F.col("n") <= block).select("band", F.lit(0).cast("long").alias("block"), "key")
-    hot = meeting.where(F.col("n") > block).select("band", "nth", "more", "key")
+    bucketed = written(_salted(banded, ["band"], block), "meeting")
+    small = bucketed.where(F.col("n") <= block).select("band", F.lit(0).cast("long").alias("block"), "nth", "key")
+    hot = bucketed.where(F.col("n") > block).select("band", "nth", "more", "key")
     large = _salted(hot, ["band", "more"], block).select("band", F.xxhash64("more", "salt").alias("block"), "key")
-    links = _candidate_links(small.union(large), signed, least)
-    ends = links.select(F.col("a").alias("key")).union(links.select("b")).union(hot.select("key")).distinct().join(one.select("key", "rep"), "key")
-    texts = source.join(ends, F.col("doc_id") == F.col("rep")).select("key", "text")
-    sets = written(texts.mapInArrow(_shingles, "key binary, elements binary"), "shingles")
-    labels = _holding(links, small, signed, sets, similarity, least)
+    links = _candidate_links(small.select("band", "block", "key").union(large), signed, least)
+    ends = links.select(F.col("a").alias("key")).union(links.select("b")).union(hot.select("key")).distinct().join(one.select("key", "rep_id", "rep_digest"), "key")
+    texts = source.join(ends, (F.col("doc_id") == F.col("rep_id")) & (F.col("digest") == F.col("rep_digest"))).select("key", "text")
+    sets = written(texts.mapInArrow(_shingles, "key binary, elements binary").dropDuplicates(["key"]), "shingles")
+    pairs = links.select("a", "b").distinct().join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+    tried = written(pairs.select("a", "b", "ea", "eb").mapInArrow(_verify(similarity), "a binary, b binary, holds boolean"), "verified")
+    labels = components(tried.where("holds"))
+    failed = links.join(tried.where("not holds"), ["a", "b"], "left_semi").select("band", "block").distinct()
+    cold = _labelled(small.join(failed, ["band", "block"], "left_semi"), labels).join(signed, "key")
+    labels = _settled(labels, cold.withColumn("side", F.lit(WITHIN)), sets, similarity, least)
     if not hot.isEmpty():
-        across_ = _links_across(hot.select("band", "nth", "key"), signed, sets, labels, block, similarity, least)
-        if not across_.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across_))
-    least_id = labels.join(one.select(F.col("key").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = written(labels.join(least_id, "label").select(F.col("node").alias("key"), "class_id"), "classes")
-    named = one.select("key", "rep").join(classes, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"))
+        labels = _settled(labels, _met_across(hot.select("band", "nth", "key"), labels, block).join(signed, "key"), sets, similarity, least)
+    keys = one.select("key", "rep_id", "rep_digest")
+    return rows.select("doc_id", "digest", "key"), written(_labelled(keys, labels), "classes")
+
+
+def near_duplicate_classes(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id): class_id is the smallest doc_id of the document's class."""
+    rows, keys = _classed(docs, similarity, block)
+    named = keys.join(keys.groupBy("label").agg(F.min("rep_id").alias("class_id")), "label").select("key", "class_id")
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that have a near copy of smaller doc_id in their class. Rows without doc_id stay."""
-    classes = written(near_duplicate_classes(docs, **options), "classes")
-    own, times = spare(docs, "id", "n")
-    kept = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(times))
-    repeated = not kept.where(F.col(times) > 1).isEmpty()
-    out = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(own)).select(*docs.columns)
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+def keep_one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """One row of docs for each class of near copies, all columns as they are.
+
+    It is the row of smallest doc_id, and of these the one whose text has the smallest
+    digest; a class of rows without doc_id keeps one of them. Of rows that repeat both
+    doc_id and text any one stays. Null text counts as empty, so one of all such rows stays.
+    """
+    rows, keys = _classed(docs, similarity, block)
+    first = F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_digest")).alias("rep")
+    own, text, digest = spare(docs, "id", "text", "digest")
+    kept = written(keys.groupBy("label").agg(first).select(F.col("rep.rep_id").alias(own), F.col("rep.rep_digest").alias(text)), "kept")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(digest) == F.col(text))
+    repeated = rows.withColumnRenamed("digest", digest).join(kept, match).groupBy(own, text).count().where("count > 1")
+    out = docs.withColumn(digest, text_digest()).join(kept, match)
+    if not repeated.isEmpty():
+        out = out.dropDuplicates([own, text])
+    return out.select(*docs.columns)
