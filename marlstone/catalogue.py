@@ -8,16 +8,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import export, paths
-from marlstone.functions.values import field_values, js_string, nested_property, prefix_path
+from marlstone.functions.values import as_array, field_values, js_string, nested_property, prefix_path, unwrap_single
 from marlstone.operators import incremental, postings, relations
 from marlstone.plans.catalog import Catalog, Relation, Source
 from marlstone.plans.engine import Engine
 from marlstone.plans.paging import AFTER, BEFORE, cursor_column, encode_cursor
 from marlstone.plans.query import BINARY, Query
+from marlstone.shared import fresh_path
 from marlstone.sources import files, parsers
 from marlstone.sources.validation import violations
 
@@ -588,11 +589,26 @@ def udtf_parser(spark, d):
     return files.parsed_column(rows, "html-title", "title string").select(F.col("slug").cast("long").alias("page_id"), "title")
 
 
-@query("SELECT upper(p_brand) AS v, CAST(p_partkey AS VARCHAR) AS slug FROM part WHERE p_brand IS NOT NULL")
+def _brand_values(record: dict) -> list:
+    if record["p_partkey"] % 10 == 0:
+        raise ValueError("such records are logged and skipped")
+    return [record["p_brand"] and record["p_brand"].upper(), record["p_partkey"] % 3 == 0]
+
+
+@query("""
+SELECT upper(p_brand) AS v, CAST(p_partkey AS VARCHAR) AS slug FROM part WHERE p_brand IS NOT NULL AND p_partkey % 10 <> 0
+UNION ALL SELECT CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END, CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 10 <> 0
+""")
 def udf_custom_indexer(spark, d):
-    catalog = Catalog({"part": Source("part", "table", "part.parquet", key=("p_partkey",), custom_index={"upper_brand": 1})})
-    e = Engine(spark, catalog, d, custom_index={"part.upper_brand": lambda df: F.upper("p_brand")})
-    return postings.field_postings(e, "part", "upper_brand", 1).select("v", "slug")
+    catalog = Catalog({"part": Source("part", "table", "part.parquet", key=("p_partkey",), custom_index={"brand_values": 1})})
+    e = Engine(spark, catalog, d, record_index={"part.brand_values": _brand_values})
+    return postings.field_postings(e, "part", "brand_values", 1).select("v", "slug")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS slug FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 3 = 0")
+def record_index_filter(spark, d):
+    catalog = Catalog({"part": Source("part", "table", "part.parquet", key=("p_partkey",), custom_index={"brand_values": 1})})
+    return _slugs(Engine(spark, catalog, d, record_index={"part.brand_values": _brand_values}).from_("part").where("brand_values", "eq", "true"))
 
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS slug, {BY_PRICE} AS price, CAST(o_custkey AS VARCHAR) AS customer FROM orders")
@@ -608,15 +624,113 @@ def count_matched(spark, d):
     return spark.sql("SELECT c_mktsegment, count(*) AS matched FROM customer GROUP BY 1")
 
 
-@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v, row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) AS n FROM (SELECT DISTINCT o_custkey FROM orders)")
+@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders")
 def distinct_keys(spark, d):
-    keys = relations.keyed(engine(spark, d).frame("orders"), "o_custkey", "k_").select(F.col("k_key").alias("v")).distinct()
-    return keys.withColumn("n", F.row_number().over(Window.orderBy("v")).cast("long"))
+    return relations.keyed(engine(spark, d).frame("orders"), "o_custkey", "k_").select(F.col("k_key").alias("v")).distinct()
 
 
-@query()
+@query("SELECT CAST(conv_id AS VARCHAR) AS slug, CASE WHEN count(*) = 1 THEN min(role) END AS only_role, CAST(1 AS INTEGER) AS listed FROM conversations GROUP BY conv_id")
+def unwrap_and_as_array(spark, d):
+    df = engine(spark, d).frame("threads")
+    only = unwrap_single(F.col("turns"), df.schema["turns"].dataType)
+    return df.select("slug", only["role"].alias("only_role"), F.size(as_array(F.col("slug"), df.schema["slug"].dataType)).alias("listed"))
+
+
+@query("""
+SELECT n_name AS v, CAST(n_nationkey AS VARCHAR) AS slug FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation)
+ORDER BY lower(n_name), n_nationkey LIMIT 15
+""")
+def order_unicode(spark, d):
+    """The default order, in which case matters last."""
+    mixed = engine(spark, d).frame("nation").withColumn("n_name", F.expr("CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END"))
+    return engine(spark, d, nation=mixed).from_("nation").order_by("n_name").page_size(15).peek().data.select("v", "slug")
+
+
+# Scans and written indexes
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS slug, c_name AS name, CAST(c_nationkey AS INTEGER) AS nation FROM customer")
+def jsonl_scan(spark, d):
+    path = fresh_path(spark, "jsonl")
+    lines = engine(spark, d).frame("customer").select(F.to_json(F.struct("slug", F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))).alias("value"))
+    lines.withColumn("value", F.when(F.hash("value") % 3 == 0, F.concat("value", F.lit("\n\n  "))).otherwise(F.col("value"))).write.text(path)
+    return files.json_lines(spark, path, "slug string, name string, nation int")
+
+
+@query("SELECT c_name AS value FROM customer")
+def list_scan(spark, d):
+    path = fresh_path(spark, "lines")
+    engine(spark, d).frame("customer").select(F.concat("c_name", F.lit("\n \n"))).write.text(path)
+    return files.text_lines(spark, path)
+
+
+def _stored(spark, d, name: str, **frames: DataFrame) -> DataFrame:
+    path = fresh_path(spark, "index")
+    postings.build_index(engine(spark, d, **frames), path, [name])
+    return postings.read_index(spark, path)
+
+
+@query(CUSTOMER_POSTINGS)
+def index_stored(spark, d):
+    """The index of a source, written and read again."""
+    return _stored(spark, d, "customer").select(*SHOWN)
+
+
+@query(f"SELECT * FROM ({CUSTOMER_POSTINGS}) WHERE field = 'c_mktsegment' AND v IN ('BUILDING', 'MACHINERY')")
+def index_stored_probe(spark, d):
+    return postings.probe(_stored(spark, d, "customer"), "customer", "c_mktsegment", "in", ["BUILDING", "MACHINERY", "none"], 2).select(*SHOWN)
+
+
+@query(f"""
+SELECT DISTINCT source, field, p FROM ({_post("CAST(r_regionkey AS VARCHAR)", "region", "slug", "region", "CAST(r_regionkey AS VARCHAR)", 1)}
+UNION ALL {_post("r_name", "region", "r_name", "region", "CAST(r_regionkey AS VARCHAR)", 1)})
+""")
+def manifest(spark, d):
+    """The files of an exported index, as its manifest lists them: which source, field and prefix each holds."""
+    out, listed = fresh_path(spark, "export"), fresh_path(spark, "manifest")
+    postings.export_lines(postings.with_ref(postings.postings(engine(spark, d), "region")), out)
+    postings.write_manifest(spark, out, listed)
+    part = lambda n: F.regexp_extract("file", f"/{n}=([^/]*)/", 1).alias(n)
+    return postings.read_manifest(spark, listed).select(part("source"), part("field"), part("p")).distinct()
+
+
+@query(CUSTOMER_POSTINGS)
+def incremental_closure(spark, d):
+    """Customers' postings after a change to regions only, which reaches them through their nations."""
+    old = engine(spark, d).frame("region").withColumn("r_name", F.expr("CASE WHEN r_regionkey % 2 = 1 THEN concat('OLD ', r_name) ELSE r_name END"))
+    rows = postings.with_ref(postings.postings(engine(spark, d, region=old), "customer"))
+    feed = incremental.snapshot_diff(old, engine(spark, d).frame("region"), "region", ["r_name"])
+    return incremental.updated(engine(spark, d), rows, feed, "customer").select(*SHOWN)
+
+
+NESTED = {"type": "object", "properties": {"owner": {"type": ["object", "null"], "required": ["name"], "properties": {"name": {"type": "string"}}}}}
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS slug, 'owner.name' AS path, 'missing' AS problem FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0")
+def validate_nested_required(spark, d):
+    """Objects that lack a value they require; rows without the object pass."""
+    owner = "CASE WHEN o_orderkey % 2 = 0 THEN named_struct('name', CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END) END AS owner"
+    return violations(engine(spark, d).frame("orders").selectExpr("slug", owner), NESTED)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS slug, c_name AS name, c_nationkey AS nation, c_mktsegment || '+x' AS tags FROM customer")
+def parse_yaml_nested(spark, d):
+    raw = _yaml(spark, d, "owner:\n  name: %s\n  at:\n    # where\n    nation: %s\ntags: [%s,\n  'x',\n]\nmore: %s\n")
+    got = files.parsed_column(raw, "yaml", "owner struct<name string, at struct<nation int>>, tags array<string>")
+    return got.select("slug", "owner.name", "owner.at.nation", F.array_join("tags", "+").alias("tags"))
+
+
+@query("""
+SELECT 'record' AS kind, r_name AS name, CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS INTEGER) AS n_nations, CAST(NULL AS VARCHAR) AS has_next
+FROM (SELECT * FROM region ORDER BY CAST(r_regionkey AS VARCHAR) LIMIT 3)
+UNION ALL SELECT 'pageInfo', NULL, NULL, CASE WHEN count(*) > 3 THEN 'true' ELSE 'false' END FROM region
+""")
 def ssg_export(spark, d):
-    return export.static_result(engine(spark, d), lambda e: e.from_("region").join("nations"))
+    """A page's records and page info as JSON, read again; when it was made is left out."""
+    made = export.static_result(engine(spark, d), lambda e: e.from_("region").join("nations").collate(BINARY).page_size(3)).where("kind <> 'generatedAt'")
+    field = lambda path: F.get_json_object("value", path)
+    nations = F.when(F.col("kind") == "record", F.size(F.from_json(field("$.nations"), "array<struct<slug:string>>")))
+    return made.select("kind", field("$.r_name").alias("name"), nations.alias("n_nations"), field("$.hasNextPage").alias("has_next"))
 
 
 @query()

@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: In the metadata of a slug that is the text of one column: that column.
+SLUG_OF = "text_of"
+BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+_INTEGER = re.compile("0|-?[1-9][0-9]*")
+
+
+def integer_of(text: str, kind: T.DataType) -> int | None:
+    """The integer that has exactly this text as a value of the type; None if there is none."""
+    if not _INTEGER.fullmatch(text):
+        return None
+    number, bound = int(text), 1 << (BITS[type(kind)] - 1)
+    return number if -bound <= number < bound else None
+
+
+def among(column: Column, kind: T.DataType, texts: list[str]) -> Column:
+    """Whether the value's text is one of the texts, as a predicate that a scan of integers or strings takes."""
+    if isinstance(kind, INTEGRAL):
+        numbers = [n for t in texts if (n := integer_of(t, kind)) is not None]
+        return column.isin(numbers) if numbers else F.lit(False)
+    text = js_string(column, kind)
+    return text == texts[0] if len(texts) == 1 else text.isin(texts) if texts else F.lit(False)
 
 
 def js_string(value: Column, kind: T.DataType) -> Column:

@@ -75,15 +75,15 @@ def updated(engine: Engine, rows: DataFrame, feed: DataFrame, name: str, touched
     return kept.unionByName(index.with_ref(fresh))
 
 
-def apply_changes(engine: Engine, path: str, feed: DataFrame, staging: str) -> list[tuple[str, str, str]]:
-    """Rewrites the partitions of the index at `path` that a feed touches; which (source, field, p) those are.
+def apply_changes(engine: Engine, path: str, feed: DataFrame, staging: str) -> DataFrame:
+    """Rewrites the partitions of the index at `path` that a feed touches; (source, field, p) of those.
 
     What the partitions shall hold is written to the staging folder first, since the index
     can't be read and overwritten at once; partitions that become empty are emptied.
     """
     spark = engine.spark
     rows = index.read_index(spark, path)
-    done: list[tuple[str, str, str]] = []
+    done = spark.createDataFrame([], "source string, field string, p string")
     for name in engine.catalog:
         staged = f"{staging.rstrip('/')}/{name}"
         affected(engine, feed, name).write.mode("overwrite").parquet(f"{staged}/touched")
@@ -100,9 +100,9 @@ def apply_changes(engine: Engine, path: str, feed: DataFrame, staging: str) -> l
         ready, places = spark.read.parquet(f"{staged}/rows"), spark.read.parquet(f"{staged}/places")
         index.write_postings(ready.select(*index.COLUMNS), path)
         empty = places.join(ready, ["source", "field", "p"], "left_anti")
-        for row in empty.collect():  # partitions without rows: a few folder names
+        for row in empty.toLocalIterator():  # folder names, a part of them at a time
             _remove(spark, path, row)
-        done += [tuple(r) for r in places.collect()]
+        done = done.unionByName(places)
     return done
 
 

@@ -9,6 +9,7 @@ and v, which is sorted within them. ref lists the prefixes of all of the record'
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -26,24 +27,45 @@ COLUMNS = ("v", "vs", "slug", "ref", "source", "field", "p")
 KEY = ("source", "field", "v", "vs", "slug")
 
 
-def field_postings(engine: Engine, name: str, field: str, depth: int) -> DataFrame:
-    """(v, vs, slug, source, field, p) of one field."""
-    df, source = engine.frame(name), engine.catalog[name]
-    first, _, rest = field.partition(".")
-    if rest and first in source.relations:
+def _lines(df: DataFrame, names: dict[str, str], depths: dict[str, int]) -> Column:
+    """An array of (v, field, p) for every distinct value of the fields {name in the index: path in df}."""
+
+    def of(name: str, path: str) -> Column:
+        place = lambda v: F.struct(v.alias("v"), F.lit(name).alias("field"), prefix_path(v, depths[name]).alias("p"))
+        return F.transform(F.array_distinct(field_values(df.schema, path)), place)
+
+    return F.concat(*[of(n, p) for n, p in names.items()])
+
+
+def postings(engine: Engine, name: str, fields: Mapping[str, int] | None = None) -> DataFrame:
+    """(v, vs, slug, source, field, p): the postings of a source's fields {field: depth}, all of them unless given, without ref.
+
+    The source is read once for its own fields, and its pairs with related records are made
+    once for each relation.
+    """
+    depths, source = dict(engine.catalog.indexes(name) if fields is None else fields), engine.catalog[name]
+    own, related = {}, {}
+    for field in depths:
+        first, _, rest = field.partition(".")
+        if rest and first in source.relations:
+            related.setdefault(first, {})[field] = rest
+        else:
+            own[field] = field
+    df, parts = engine.frame(name, depths), []
+    if own:
+        parts.append(df.select(F.col("slug").alias("vs"), "slug", F.explode(_lines(df, own, depths)).alias("x")))
+    for first, names in related.items():
         relation = source.relations[first]
         target = engine.frame(relation.to)
         pairs = relations.linked(df, relation, target, engine.frame(relation.through) if relation.through else None)
-        values = target.select(F.col("slug").alias("vs"), F.explode(field_values(target.schema, rest)).alias("v"))
-        rows = pairs.select(F.col("l_slug").alias("slug"), F.col("t_slug").alias("vs")).join(values, "vs").select("v", "vs", "slug").distinct()
-    else:
-        rows = df.select(F.explode(F.array_distinct(field_values(df.schema, field))).alias("v"), F.col("slug").alias("vs"), "slug")
-    return rows.select("v", "vs", "slug", F.lit(name).alias("source"), F.lit(field).alias("field"), prefix_path(F.col("v"), depth).alias("p"))
+        values = target.select(F.col("slug").alias("vs"), F.explode(_lines(target, names, depths)).alias("x"))
+        parts.append(pairs.select(F.col("l_slug").alias("slug"), F.col("t_slug").alias("vs")).distinct().join(values, "vs").select("vs", "slug", "x"))
+    return reduce(DataFrame.unionByName, parts).select("x.v", "vs", "slug", F.lit(name).alias("source"), "x.field", "x.p")
 
 
-def postings(engine: Engine, name: str) -> DataFrame:
-    """All postings of a source, without ref."""
-    return reduce(DataFrame.unionByName, [field_postings(engine, name, f, d) for f, d in engine.catalog.indexes(name).items()])
+def field_postings(engine: Engine, name: str, field: str, depth: int) -> DataFrame:
+    """(v, vs, slug, source, field, p) of one field."""
+    return postings(engine, name, {field: depth})
 
 
 def ref_map(rows: DataFrame) -> DataFrame:
@@ -123,9 +145,19 @@ def manifest(spark, path: str, glob: str = "*") -> DataFrame:
 
 
 def write_manifest(spark, path: str, target: str, glob: str = "*.json*") -> None:
-    """The list of files as one JSON array."""
-    listed = manifest(spark, path, glob).agg(F.to_json(F.array_sort(F.collect_list("file"))).alias("value"))
-    listed.coalesce(1).write.mode("overwrite").text(target)
+    """The list of files as one JSON array, a line for each, written in order without being gathered."""
+    files = manifest(spark, path, glob)
+    first = files.agg(F.min("file")).first()[0]
+    named = files.select(F.lit(0).alias("part"), "file", F.concat(F.when(F.col("file") == F.lit(first), "[").otherwise(","), F.to_json(F.array("file"))).alias("line"))
+    lines = named.select("part", "file", F.regexp_replace("line", r"^(.)\[(.*)\]$", "$1$2").alias("value"))
+    end = spark.range(1).select(F.lit(1).alias("part"), F.lit(None).cast("string").alias("file"), F.lit("]" if first is not None else "[]").alias("value"))
+    lines.union(end).repartition(1).sortWithinPartitions("part", "file").select("value").write.mode("overwrite").text(target)
+
+
+def read_manifest(spark, target: str) -> DataFrame:
+    """(file): the files of a written manifest."""
+    lines = spark.read.text(target).select(F.regexp_extract("value", r'^[\[,](".*")$', 1).alias("q")).where("q <> ''")
+    return lines.select(F.from_json(F.concat(F.lit("["), "q", F.lit("]")), "array<string>")[0].alias("file"))
 
 
 def schema_json(engine: Engine, name: str) -> str:

@@ -1,8 +1,12 @@
 """Relations: target rows nested into their owners' rows, and the semi-joins that filter by them.
 
-Keys are exploded with their positions and meet in equi-joins, so that Catalyst picks the
-strategy and AQE splits hot keys. Children are gathered before the left join to the owners,
-which keeps owners without children and gives them an empty array.
+Keys meet in equi-joins, so that Catalyst picks the strategy and AQE splits hot keys. Where
+both sides have one key of one type in a row, the columns are compared as they are, which
+leaves filters on them to the scan; else keys are texts, and lists are exploded with their
+positions. Children are gathered before the left join to the owners, which keeps owners
+without children and gives them an empty array. An owner's children are one row of the
+result, so they must fit into a task's memory: select fewer columns of the target, or join
+the pairs of linked(), where an owner may have very many.
 
 Order of children: position of the key, slug of the through row, position of its key, slug
 of the target.
@@ -10,10 +14,11 @@ of the target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marlstone.functions.values import field_values
+from marlstone.functions.values import INTEGRAL, SLUG_OF, field_values, leaf
 from marlstone.plans.catalog import INVERSE, ONE, Relation
 
 
@@ -21,10 +26,39 @@ class DanglingKeyError(LookupError):
     pass
 
 
+class Keys:
+    """The keys that a dotted path names in the rows of df."""
+
+    def __init__(self, df: DataFrame, path: str):
+        self.df, self.path = df, path
+        made_of = df.schema["slug"].metadata.get(SLUG_OF) if path == "slug" and "slug" in df.columns else None
+        self.found = leaf(df.schema, made_of if made_of in df.columns else path)
+
+    def plain_like(self, other: Keys) -> bool:
+        """Whether both have at most one key in a row, of types whose values are equal if and only if their texts are."""
+        if self.found is None or other.found is None:
+            return False
+        own, others = self.found[1], other.found[1]
+        return any(isinstance(own, t) and isinstance(others, t) for t in (INTEGRAL, T.StringType))
+
+    def rows(self, prefix: str, plain: bool, *more: Column) -> DataFrame:
+        """(<prefix>slug, <prefix>pos, <prefix>key, more): a row for every key; as text unless plain."""
+        slug = F.col("slug").alias(f"{prefix}slug")
+        if plain:
+            key = self.found[0].alias(f"{prefix}key")
+            return self.df.select(slug, F.lit(0).alias(f"{prefix}pos"), key, *more).where(F.col(f"{prefix}key").isNotNull())
+        return self.df.select(slug, *more, F.posexplode(field_values(self.df.schema, self.path)).alias(f"{prefix}pos", f"{prefix}key"))
+
+
 def keyed(df: DataFrame, path: str, prefix: str) -> DataFrame:
-    """(<prefix>slug, <prefix>pos, <prefix>key): a row for every value of the path."""
-    values = field_values(df.schema, path)
-    return df.select(F.col("slug").alias(f"{prefix}slug"), F.posexplode(values).alias(f"{prefix}pos", f"{prefix}key"))
+    """(<prefix>slug, <prefix>pos, <prefix>key): a row for every value of the path, as text."""
+    return Keys(df, path).rows(prefix, False)
+
+
+def meeting(left: Keys, right: Keys, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides, with l_key and f_key of types that can be compared; more: further columns of the right."""
+    plain = left.plain_like(right)
+    return left.rows("l_", plain), right.rows("f_", plain, *more)
 
 
 def _containing(local: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -42,24 +76,29 @@ def _containing(local: DataFrame, foreign: DataFrame) -> DataFrame:
 
 def linked(owners: DataFrame, relation: Relation, target: DataFrame, through: DataFrame | None = None, match: str = "exact") -> DataFrame:
     """(l_slug, order, t_slug): the pairs that a relation holds, order being what children are sorted by."""
-    left = keyed(owners, relation.local, "l_")
+    own, aims = Keys(owners, relation.local), Keys(target, relation.foreign)
     if through is None:
-        right = keyed(target, relation.foreign, "f_")
         if match == "substring":
+            left, right = own.rows("l_", False), aims.rows("f_", False)
             sizes = owners.select(F.col("slug").alias("l_slug"), (F.size(field_values(owners.schema, relation.local)) != 1).alias("loose"))
             marked = left.join(sizes, "l_slug")
             exact = marked.where("not loose").join(right, F.col("l_key") == F.col("f_key"))
             pairs = exact.unionByName(_containing(marked.where("loose"), right), allowMissingColumns=True)
         else:
+            left, right = meeting(own, aims)
             pairs = left.join(right, F.col("l_key") == F.col("f_key"))
         order = F.struct(F.col("l_pos").alias("a"), F.col("f_slug").alias("b"), F.lit(0).alias("c"), F.lit("").alias("d"))
         pairs = pairs.select("l_slug", order.alias("order"), F.col("f_slug").alias("t_slug"))
         if relation.kind in INVERSE:  # a row meets another once, whatever keys they share
             pairs = pairs.groupBy("l_slug", "t_slug").agg(F.min("order").alias("order"))
         return pairs.select("l_slug", "order", "t_slug")
-    middle = through.select(F.col("slug").alias("m_slug"), field_values(through.schema, relation.through_local).alias("ends"), F.explode(field_values(through.schema, relation.through_foreign)).alias("m_key"))
-    middle = middle.select("m_slug", "m_key", F.posexplode("ends").alias("n_pos", "n_key"))
-    pairs = left.join(middle, F.col("l_key") == F.col("m_key")).join(keyed(target, relation.foreign, "f_"), F.col("n_key") == F.col("f_key"))
+    middle, ends = Keys(through, relation.through_foreign), Keys(through, relation.through_local)
+    onward = ends.plain_like(aims)
+    key = ends.found[0] if onward else field_values(through.schema, relation.through_local)
+    left, between = meeting(own, middle, key.alias("ends"))
+    met = left.join(between, F.col("l_key") == F.col("f_key")).withColumnRenamed("f_slug", "m_slug").drop("f_pos", "f_key")
+    met = met.withColumn("n_pos", F.lit(0)).withColumnRenamed("ends", "n_key") if onward else met.select("l_slug", "l_pos", "m_slug", F.posexplode("ends").alias("n_pos", "n_key"))
+    pairs = met.join(aims.rows("f_", onward), F.col("n_key") == F.col("f_key"))
     order = F.struct(F.col("l_pos").alias("a"), F.col("m_slug").alias("b"), F.col("n_pos").alias("c"), F.col("f_slug").alias("d"))
     return pairs.select("l_slug", order.alias("order"), F.col("f_slug").alias("t_slug"))
 
@@ -80,17 +119,20 @@ def attach(owners: DataFrame, name: str, relation: Relation, target: DataFrame,
 
 def dangling(owners: DataFrame, relation: Relation, target: DataFrame) -> DataFrame:
     """(slug, key): keys of owners that no target row has."""
-    left, right = keyed(owners, relation.local, "l_"), keyed(target, relation.foreign, "f_")
-    return left.join(right, F.col("l_key") == F.col("f_key"), "left_anti").select(F.col("l_slug").alias("slug"), F.col("l_key").alias("key"))
+    left, right = meeting(Keys(owners, relation.local), Keys(target, relation.foreign))
+    return left.join(right, F.col("l_key") == F.col("f_key"), "left_anti").select(F.col("l_slug").alias("slug"), F.col("l_key").cast("string").alias("key"))
 
 
 def having(owners: DataFrame, relation: Relation, target: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """The owners that the relation links to some row of target (a semi-join)."""
-    wanted = target.select(F.explode(field_values(target.schema, relation.foreign)).alias("k"))
+    aims = Keys(target, relation.foreign)
     if through is not None:
-        ends = through.select(
-            F.explode(field_values(through.schema, relation.through_local)).alias("k"), field_values(through.schema, relation.through_foreign).alias("keys")
-        )
-        wanted = ends.join(wanted, "k", "left_semi").select(F.explode("keys").alias("k"))
-    local = keyed(owners, relation.local, "l_").join(wanted, F.col("l_key") == F.col("k"), "left_semi").select("l_slug").distinct()
+        steps, wanted = meeting(Keys(through, relation.through_local), aims)
+        reached = steps.join(wanted, F.col("l_key") == F.col("f_key"), "left_semi").select(F.col("l_slug").alias("slug")).distinct()
+        aims = Keys(through.join(reached, "slug", "left_semi"), relation.through_foreign)
+    own = Keys(owners, relation.local)
+    local, wanted = meeting(own, aims)
+    if own.plain_like(aims):  # the owners themselves meet the keys
+        return owners.join(wanted.select("f_key"), own.found[0] == F.col("f_key"), "left_semi")
+    local = local.join(wanted, F.col("l_key") == F.col("f_key"), "left_semi").select("l_slug").distinct()
     return owners.join(local, F.col("slug") == F.col("l_slug"), "left_semi")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions.values import INTEGRAL, field_values, js_string, leaf
+from marlstone.functions.values import among, field_values, js_string, leaf
 from marlstone.operators import relations
 from marlstone.plans.catalog import ConfigError, Source
 from marlstone.plans.paging import AFTER, BEFORE, DEFAULT_PAGE, PageInfo, decode_cursor, encode_cursor, look_ahead_info
@@ -54,13 +54,7 @@ def condition(schema: T.StructType, test: Filter) -> Column:
         return F.lit(False)
     column, kind = found
     if not isinstance(kind, T.ArrayType):
-        if isinstance(kind, INTEGRAL) and test.op != "startsWith":
-            numbers = [int(w) for w in wanted if str(w).lstrip("-").isdigit() and str(int(w)) == str(w)]
-            return column.isin(numbers) if numbers else F.lit(False)
-        text = js_string(column, kind)
-        if test.op == "startsWith":
-            return text.startswith(test.value)
-        return text == wanted[0] if test.op == "eq" else text.isin(wanted) if wanted else F.lit(False)
+        return js_string(column, kind).startswith(test.value) if test.op == "startsWith" else among(column, kind, wanted)
     values = field_values(schema, test.field)
     if test.op == "startsWith":
         return F.exists(values, lambda v: v.startswith(test.value))
@@ -127,12 +121,18 @@ class Query:
         first, _, rest = name.partition(".")
         return (first, rest) if rest and first in self.source.relations else None
 
+    def _own_condition(self, schema: T.StructType, test: Filter) -> Column:
+        """condition(), but the slug of a table is looked up in the columns that it is made of."""
+        if test.field == "slug" and test.op != "startsWith" and self.source.key:
+            return self.engine.has_slug(self.source, schema, list(test.value) if test.op == "in" else [test.value])
+        return condition(schema, test)
+
     def to_df(self) -> DataFrame:
         """All matching rows, without pages, order or joined relations."""
-        df = self.engine.frame(self.source.name)
+        df = self.engine.frame(self.source.name, {self.key, *(f.field for f in self.filters)})
         if self.any_of and any(self._relation_of(f.field) for f in self.filters):
             return reduce(DataFrame.union, [replace(self, filters=(f,), any_of=False).to_df() for f in self.filters]).dropDuplicates(["slug"])
-        own = [condition(df.schema, f) for f in self.filters if not self._relation_of(f.field)]
+        own = [self._own_condition(df.schema, f) for f in self.filters if not self._relation_of(f.field)]
         if own:
             df = df.where(reduce(lambda a, b: a | b if self.any_of else a & b, own))
         for test in self.filters:

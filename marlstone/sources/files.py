@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.paths import base_dir, glob_regex, is_glob, slug_of
 from marlstone.plans.catalog import Source
+from marlstone.shipping import ship
 from marlstone.sources import parsers as registry
 from marlstone.sources.mini_yaml import plain
 from marlstone.sources.parsers import Parser
@@ -52,6 +53,7 @@ def records_of(path: str, raw: str, source: Source, known: Mapping[str, Parser],
 
 
 def read_source(spark: SparkSession, source: Source, root: str, parsers: Mapping[str, Parser], validator: Validator | None) -> DataFrame:
+    ship(spark)
     known = registry.parsers() | dict(parsers)
     if source.kind not in known:
         raise ValueError(f"No parser registered for type: {source.kind}")
@@ -78,6 +80,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed_column(df: DataFrame, kind: str, schema: str, raw: str = "raw", key: str = "slug") -> DataFrame:
     """(key, the schema's columns): a column of file contents through a parser, a row for every record."""
+    ship(df.sparkSession)
     parser = registry.parsers()[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -103,7 +103,8 @@ def violations(df: DataFrame, schema: dict, key: str = "slug") -> DataFrame:
     """(key, path, problem) of a table's rows: missing required values, nulls, dates that can't be read, fractions in integers."""
     found: list[Column] = []
 
-    def check(path: str, inner: dict, required: bool) -> None:
+    def check(path: str, inner: dict, required: bool, parent: Column | None = None) -> None:
+        """parent: the object or list of objects that the path's last field is in; what it requires counts only where it is there."""
         kinds = kinds_of(inner)
         place = leaf(df.schema, path)
         problem = lambda text: F.struct(F.lit(path).alias("path"), F.lit(text).alias("problem"))
@@ -112,15 +113,21 @@ def violations(df: DataFrame, schema: dict, key: str = "slug") -> DataFrame:
                 found.append(problem("missing"))
             return
         value, kind = place
-        if required and not isinstance(kind, T.ArrayType) and "null" not in kinds:
-            found.append(F.when(value.isNull(), problem("missing")))
+        if required and "null" not in kinds:
+            if not isinstance(kind, T.ArrayType):
+                found.append(F.when(value.isNull() if parent is None else value.isNull() & parent.isNotNull(), problem("missing")))
+            elif parent is not None and "array" not in kinds:  # one value for each object of a list
+                found.append(F.when(F.exists(value, lambda v: v.isNull()), problem("missing")))
         each = F.array(value) if not isinstance(kind, T.ArrayType) else value
         if "date" in kinds:
             found.append(F.when(F.exists(each, lambda v: v.isNotNull() & F.try_to_timestamp(v.cast("string")).isNull()), problem("not a date")))
         if "integer" in kinds and "number" not in kinds:
             found.append(F.when(F.exists(each, lambda v: v.isNotNull() & (v.cast("double") != F.floor(v.cast("double")))), problem("not an integer")))
         for name, below in (inner.get("properties") or {}).items():
-            check(f"{path}.{name}", below, False)
+            check(f"{path}.{name}", below, name in (inner.get("required") or []), value)
+        listed = inner.get("items") or {}
+        for name, below in (listed.get("properties") or {}).items():
+            check(f"{path}.{name}", below, name in (listed.get("required") or []), value)
 
     inner = (schema.get("items") or {}) if "array" in kinds_of(schema) else schema
     for name, below in (inner.get("properties") or {}).items():
