@@ -12,15 +12,17 @@ import json
 import os
 import shutil
 import urllib.error
+import urllib.parse
 import urllib.request
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import SparkSession
 
-from marlstone.functions.paths import base_dir, glob_match, is_glob
+from marlstone.functions.paths import base_dir, glob_match, is_glob, path_of
+from marlstone.plans.catalog import Source
 
 
 class Storage(Protocol):
@@ -62,10 +64,16 @@ class LocalStorage:
 
 
 class HttpStorage:
-    """Read only. With compressed, a file's .gz sibling is tried first. What there is comes from a manifest file."""
+    """Read only. With compressed, a file's .gz sibling is tried first.
 
-    def __init__(self, base: str, compressed: bool = False, manifest: str = "manifest.json", opener=urllib.request.urlopen):
+    A web server doesn't say what it has. The files of a catalog's source are those of the
+    slugs that its exported index, served below `index` with its manifest, has lines for;
+    other patterns are looked up in a manifest of all files.
+    """
+
+    def __init__(self, base: str, compressed: bool = False, manifest: str = "manifest.json", opener=urllib.request.urlopen, catalog: Mapping[str, Source] | None = None, index: str = "index"):
         self.base, self.compressed, self.manifest, self.opener = base.rstrip("/"), compressed, manifest, opener
+        self.catalog, self.index = dict(catalog or {}), index.strip("/")
 
     def _get(self, path: str, method: str = "GET") -> bytes:
         with self.opener(urllib.request.Request(f"{self.base}/{path}", method=method), timeout=60) as got:
@@ -80,7 +88,20 @@ class HttpStorage:
         return self._get(path).decode()
 
     def list(self, pattern: str) -> list[str]:
-        return sorted(p for p in json.loads(self._get(self.manifest)) if glob_match(p, pattern))
+        named = next((n for n, s in self.catalog.items() if s.pattern == pattern), None)
+        if named is None:
+            return sorted(p for p in json.loads(self._get(self.manifest)) if glob_match(p, pattern))
+        return sorted({path_of(slug, pattern) for slug in self._slugs(named)}) if is_glob(pattern) else [pattern]
+
+    def _slugs(self, source: str) -> Iterator[str]:
+        """The values of a source's slug index, file by file."""
+        own = f"source={source}/field=slug/"
+        for file in json.loads(self._get(f"{self.index}/manifest.json")):
+            if own in file:
+                body = self._get(f"{self.index}/{urllib.parse.quote(file[file.index(own) :], safe='/=%')}")
+                for line in (gzip.decompress(body) if file.endswith(".gz") else body).decode().splitlines():
+                    if line.strip():
+                        yield json.loads(line)["v"]
 
     def exists(self, path: str) -> bool:
         try:

@@ -459,6 +459,28 @@ def test_storage(spark, root, tmp_path):
     assert cached.read("k") == "three" and prefetch(cached, ["k", "none"]) == 1
 
 
+def test_listing_by_a_served_index(spark, root, tmp_path):
+    import io
+    import urllib.error
+
+    engine = Engine(spark, Catalog.from_json(CONFIG), root)
+    postings.export_lines(postings.with_ref(postings.postings(engine, "tracks")), str(tmp_path / "index"))
+    listed = postings.manifest(spark, str(tmp_path / "index"), "*.json.gz").collect()
+    (tmp_path / "index/manifest.json").write_text(json.dumps([r.file for r in listed]))
+
+    def opener(request, timeout):
+        file = tmp_path / request.full_url.removeprefix("http://u/")
+        if not file.exists():
+            raise urllib.error.URLError("none")
+        return io.BytesIO(file.read_bytes())
+
+    web = HttpStorage("http://u", opener=opener, catalog=engine.catalog)
+    assert web.list("tracks/**/*.md") == ["tracks/first/ember.md", "tracks/first/glass.md", "tracks/loose.md", "tracks/second/harbour.md"]
+    assert web.list("people.json") == ["people.json"]
+    with pytest.raises(urllib.error.URLError):
+        web.list("other/*.md")
+
+
 def test_cache_of_sources(engine):
     assert engine.prefetch("studios", "people") == 5 and engine.cache("people").storageLevel.useMemory
     engine.evict("studios"), engine.evict("people")
