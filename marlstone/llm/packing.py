@@ -13,8 +13,11 @@ therefore never holds more than fan_in * open_windows windows, whatever the inpu
 Token ids are computed once, where the text is read; only the placements (a few
 numbers for each piece) are written and shuffled.
 
-Defined results: null or empty text is a document of one token (the end id); rows
-with equal or null doc_id are packed independently; an empty table gives no rows.
+Defined results: null or empty text is a document of one token (the end id); a text of any
+length is cut into as many windows as it fills; rows with equal or null doc_id, or that
+repeat a whole row, are packed independently; of windows that a piece fills equally well the
+one opened first is taken; columns besides doc_id and text are not read, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,15 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import text_or_empty, written
+from marlstone.llm.common import release, text_or_empty, written
 from marlstone.llm.tokenizing import tokenizer_of
+from marlstone.shipping import ship
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 OPEN_WINDOWS = 64
 MIN_CUT = 64
 FAN_IN = 16
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 1_000_000
 
 PLACED = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -143,6 +147,7 @@ def _pack_partition(tokenizer_path: str, capacity: int, open_windows: int, min_c
                 yield _batch(packer.done, part, False)
                 packer.done = []
         yield _batch(packer.leftovers(), part, True)
+        release()
 
     return run
 
@@ -178,6 +183,7 @@ def pack_sequences(
     tokens the sequence holds, padded_tokens how many after padding (capacity, or as many
     as it holds if that is a power of two).
     """
+    ship(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     placed = written(source.mapInArrow(_pack_partition(tokenizer_path, capacity, open_windows, min_cut, end_id), PLACED), "packed")
     out, left, level = placed.where(~F.col("open")), placed.where("open"), 0

@@ -4,7 +4,7 @@ Words repeat, so each distinct run of non-space is encoded once for a task and t
 looked up; Arrow splits the texts and numbers their distinct words, and numpy joins the
 looked-up ids. New words are cut into the tokenizer's pieces and merged by rank, all of
 them at once. Words with unusual characters, and texts with a special token's string, go
-to the tokenizers library itself; `tests/llm/test_packing.py` holds both against it.
+to the tokenizers library itself; `tests/llm/test_operators.py` holds both against it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE_WORDS = 1_000_000
+#: Of the words that a tokenizer keeps, with what Python needs for each.
+CACHE_BYTES = 64_000_000
+WORD_BYTES = 160
 LONGEST_WORD = 48
 #: Characters whose case and normal form Python and the library treat alike.
 _PLAIN = re.compile("[\n!-~¡-¬®-įĲ-ňŊ-ž]*")
@@ -120,6 +122,22 @@ class _Merges:
         return (np.concatenate(done_s)[order] if done_s else words), np.bincount(words, minlength=len(pieces))
 
 
+class _Growing:
+    """An array that grows at its end, in place or into twice the room."""
+
+    def __init__(self, kind: type):
+        self.data, self.used = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.used + len(more)
+        if end > len(self.data):
+            room = np.zeros(max(end, 2 * len(self.data)), self.data.dtype)
+            room[: self.used] = self.data[: self.used]
+            self.data = room
+        self.data[self.used : end] = more
+        self.used = end
+
+
 _tokenizers: dict[str, "Tokenizer"] = {}
 
 
@@ -131,7 +149,7 @@ def tokenizer_of(path: str) -> "Tokenizer":
 
 
 class Tokenizer:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
@@ -140,13 +158,15 @@ class Tokenizer:
         splits = [p["pattern"]["Regex"] for p in described["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pieces = regex.compile(rf"\n|{splits[0]}")
         self.merges = _Merges(described["model"])
-        self.cache_words = cache_words
+        self.cache_bytes = cache_bytes
         self._empty()
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.bytes = 0
+        self.start, self.length, self.pool = _Growing(np.int64), _Growing(np.int64), _Growing(np.uint32)
+        self.start.add(np.zeros(1, np.int64))
+        self.length.add(np.zeros(1, np.int64))
 
     def _learn(self, words: list[str]) -> np.ndarray:
         """Adds new words; their entries."""
@@ -174,9 +194,11 @@ class Tokenizer:
         size = np.concatenate(sizes)
         n = len(self.known)
         self.known.update(zip([*plain, *odd], range(n, n + len(size)), strict=True))
-        self.start = np.append(self.start, len(self.pool) + np.cumsum(size) - size)
-        self.length = np.append(self.length, size)
-        self.pool = np.concatenate([self.pool, *got])
+        self.bytes += sum(map(len, words)) + WORD_BYTES * len(words) + 4 * int(size.sum())
+        self.start.add(self.pool.used + np.cumsum(size) - size)
+        self.length.add(size)
+        for ids in got:
+            self.pool.add(ids)
         return np.array([self.known[w] for w in words] if odd else range(n, n + len(size)), np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -188,7 +210,7 @@ class Tokenizer:
         found = list(map(self.known.get, distinct))
         if None in found:
             new = [w for w, k in zip(distinct, found, strict=True) if k is None]
-            if len(self.known) + len(new) > self.cache_words:
+            if self.bytes + sum(map(len, new)) + WORD_BYTES * len(new) > self.cache_bytes:
                 self._empty()
                 new = [w for w in distinct if w]
                 found = [None if w else 0 for w in distinct]
@@ -198,8 +220,8 @@ class Tokenizer:
         else:
             entry = np.array(found, np.int64)
         at = entry[words.indices.to_numpy()]
-        size = self.length[at]
-        ids = self.pool[ragged(self.start[at], size)]
+        size = self.length.data[at]
+        ids = self.pool.data[ragged(self.start.data[at], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy()]
         owner = np.cumsum([len(p) for p in parts])
         return np.split(ids, ends[owner[:-1]]) if len(texts) else []
