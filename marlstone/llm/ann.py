@@ -6,16 +6,21 @@ sample's true neighbours. Inside a list, unit vectors are turned by one random r
 kept in blocks of columns. A candidate's squared distance over the first d of D dimensions
 estimates its whole distance by the factor D / d; a hypothesis test abandons it as soon as
 that estimate, less an error of EPSILON / sqrt(d), exceeds the query's k-th best so far.
-Survivors' cosines are computed in double precision on the original vectors.
+Survivors' cosines are computed in double precision, on the vectors divided by their largest
+component: that is exact in direction, and neither very small nor very large components are
+lost. The k best so far are those by (cosine, smaller id), so ties don't depend on order.
 
-Equal vectors are searched and stored once: only the smallest ids of each can be among the
-nearest, as ties go to the smaller id. Lists are cut into blocks of bounded size, and so
-are a list's queries, so that no task holds a whole list; a hot list is just more blocks.
+Vectors of equal direction (equal after that division) are searched and stored once: only
+the smallest ids of each can be among the nearest, as ties go to the smaller id. Lists are
+cut into blocks of bounded size, and so are a list's queries, so that no task holds a whole
+list; a hot list is just more blocks.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold
 null or non-finite components take no part, neither do rows without id; rows that repeat
-an id with the same vector count once; fewer than k candidates give fewer rows; a query
-whose probed lists hold too few candidates is searched over all lists.
+an id with the same vector count once, with another vector each on its own, and none of
+them is a candidate for a query of that id; fewer than k candidates give fewer rows; a
+query whose probed lists hold too few candidates is searched over all lists; columns
+besides the two named are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import written
+from marlstone.shipping import ship
 
 NEAREST = 5
 SAMPLE = 20_000
@@ -43,8 +49,7 @@ FOUND = "qid long, ids array<long>, score double"
 
 
 def units(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Unit vectors, from vectors whose largest component is 1 or -1."""
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -87,12 +92,16 @@ class Index:
         return np.argsort(-(x @ self.centers.T), axis=1, kind="stable")[:, :probes]
 
 
-def scan(candidates: np.ndarray, query: np.ndarray, k: int, chunk: int = 1024) -> np.ndarray:
-    """Places of about the k nearest candidates to a rotated query. candidates: (blocks, rows, COLUMNS)."""
+#: By how much a squared distance in single precision may be off.
+ROUNDING = 1e-5
+
+
+def scan(candidates: np.ndarray, query: np.ndarray, k: int, cosine: Callable[[np.ndarray], np.ndarray], ids: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Places and cosines of about the k nearest candidates to a rotated query. candidates: (blocks, rows, COLUMNS); cosine gives it for places; ids decide ties."""
     blocks, rows, width = candidates.shape
     dim = blocks * width
     parts = query.reshape(blocks, width)
-    limit, best, at = np.inf, np.zeros(0, np.float32), np.zeros(0, np.int64)
+    limit, best, at = np.inf, np.zeros(0), np.zeros(0, np.int64)
     begin = 0
     while begin < rows:
         end = min(rows, begin + (chunk if begin else 4 * k))
@@ -108,14 +117,13 @@ def scan(candidates: np.ndarray, query: np.ndarray, k: int, chunk: int = 1024) -
             if not len(alive):
                 break
         if len(alive):
-            best, at = np.concatenate([best, partial]), np.concatenate([at, alive])
-            if len(best) > k:
-                low = np.argpartition(best, k - 1)[:k]
-                best, at = best[low], at[low]
+            best, at = np.concatenate([best, cosine(alive)]), np.concatenate([at, alive])
+            first = np.lexsort((ids[at], -best))[:k]
+            best, at = best[first], at[first]
             if len(best) == k:
-                limit = float(best.max())
+                limit = max(0.0, 2 - 2 * float(best[-1])) + ROUNDING
         begin = end
-    return at
+    return at, best
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -133,14 +141,15 @@ def _search(index: Index, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and rows.num_rows:
-            original = _matrix(rows["vector"]).astype(np.float64)
+            original = _matrix(rows["vector"])
             norm, kept, ids = np.sqrt((original * original).sum(axis=1)), blocked(original), rows["ids"].to_pylist()
-            asked = _matrix(queries["vector"]).astype(np.float64)
+            first = np.fromiter((i[0] for i in ids), np.int64, len(ids))
+            asked = _matrix(queries["vector"])
             turned = units(asked) @ index.rotation
             for qid, q, r in zip(queries["qid"].to_pylist(), asked, turned, strict=True):
-                at = scan(kept, r, k)
-                score = (original[at] * q).sum(axis=1) / (norm[at] * math.sqrt(float((q * q).sum())))
-                out += [(qid, ids[i], float(s)) for i, s in zip(at, score, strict=True)]
+                own = math.sqrt(float((q * q).sum()))
+                cosine = lambda at: (original[at] * q).sum(axis=1) / (norm[at] * own)  # noqa: E731, B023
+                out += [(qid, ids[i], s) for i, s in zip(*(x.tolist() for x in scan(kept, r, k, cosine, first)), strict=True)]
         return pa.table([pa.array([r[n] for r in out], t) for n, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.float64()))], ["qid", "ids", "score"])
 
     return run
@@ -161,19 +170,21 @@ def _placed(index: Index, probes: int):
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, vector): the rows that take part."""
+    """(vec_id, vector): the rows that take part, their vectors divided by the largest component's size."""
     finite: Callable[[Column], Column] = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda v: v.cast("float") + F.lit(0.0).cast("float")).alias("vector"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda v: v.cast("double")).alias("vector"))
     rows = rows.where("vec_id is not null").where(F.forall("vector", finite)).where(F.exists("vector", lambda v: v != 0))
+    largest = F.array_max(F.transform("vector", F.abs)).alias("largest")
+    rows = rows.select("vec_id", "vector", largest).select("vec_id", F.transform("vector", lambda v: v / F.col("largest") + F.lit(0.0)).alias("vector"))
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     return rows.where(F.size("vector") == (size["n"] if size else 0))
 
 
 def _found(index: Index, queries: DataFrame, rows: DataFrame, probes: int, k: int) -> DataFrame:
     """(qid, ids, score) of the blocks' nearest rows for queries (qid, vector)."""
-    stored = rows.mapInArrow(_placed(index, 1), "cid long, ids array<long>, vector array<float>, list long")
+    stored = rows.mapInArrow(_placed(index, 1), "cid long, ids array<long>, vector array<double>, list long")
     stored = written(stored, "stored")
-    asked = written(queries.mapInArrow(_placed(index, probes), "qid long, vector array<float>, list long"), "asked")
+    asked = written(queries.mapInArrow(_placed(index, probes), "qid long, vector array<double>, list long"), "asked")
     blocks = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))  # noqa: E731  at most MOST_LISTS rows
     sizes = F.broadcast(written(blocks(stored, BLOCK, "cb").join(blocks(asked, QUERY_BLOCK, "qb"), "list"), "sizes"))
     salt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
@@ -188,6 +199,7 @@ def nearest_neighbours(
     vectors: DataFrame, is_query: Column, *, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEAREST, aim: float = AIM, sample: int = SAMPLE
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows for which is_query (an expression of vec_id) holds."""
+    ship(vectors.sparkSession)
     rows = written(usable(vectors, id_column, vector_column), "vectors")
     by_vector = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1)
