@@ -3,15 +3,20 @@
 A logistic classifier on measures of a text's surface gives each document a probability
 of being good. Hosts and, within them, paths get a posterior mean of that probability,
 shrunk toward the host's, and the host's toward the global mean, by as many pseudo-documents
-as the spread between groups justifies (method of moments). A document's score adds, on
-the log-odds scale, its own evidence and its path's departure from the global mean; the
-rows of a group meet only in sums, so a host may have any share of them.
+as the spread between groups justifies (method of moments). For each document the
+posteriors of its host and path are those of the other documents there: its own probability
+is taken out of the sums, so that its evidence counts once. A document's score adds, on the
+log-odds scale, its own evidence and its path's departure from the global mean; the rows of
+a group meet only in sums, so a host may have any share of them.
 
 For `documents`, the host is `source` and the path is `lang` within it.
 
-Defined results: null text is empty; null hosts and paths are groups of their own; without
-labelled rows of both classes every document's own probability is 0.5; an empty table
-gives no rows. Every row is scored on its own; doc_id plays no part.
+Defined results: null text is empty; a text of any length is measured whole; null hosts and
+paths are groups of their own; without labelled rows of both classes every document's own
+probability is 0.5; a document alone in its host has the global mean as its posterior;
+every row is scored on its own, so repeated rows and ties get equal scores, and doc_id
+plays no part; columns besides host, path, doc_id and text are passed on, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import spare, text_or_empty, written
+from marlstone.llm.common import release, spare, text_or_empty, written
 from marlstone.llm.learning import labelled_sample, logistic, sigmoid
 
 PER_CLASS = 3000
@@ -115,6 +120,7 @@ def _own(classifier: Classifier):
             for batch in _batches(whole, "text"):
                 names = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(classifier(batch["text"]))], [*names, "own"])
+        release()
 
     return run
 
@@ -133,25 +139,44 @@ def _prior(groups: DataFrame, n: str, total: str, squares: str, center: Column)
     return float(np.clip(within / spread if spread > 1e-12 else MOST_PRIOR, LEAST_PRIOR, MOST_PRIOR))
 
 
+#: Documents and their probabilities added up, of the path and of the host.
+SUMS = ("n", "s", "hn", "hs")
+
+
+class Groups:
+    """Sums of hosts and paths, a row for each path, and what they are shrunk to and by how much."""
+
+    def __init__(self, scored: DataFrame):
+        """scored: (host, path, own)."""
+        paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("s"), F.sum(F.col("own") * F.col("own")).alias("q")), "paths")
+        hosts = written(paths.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq")), "hosts")
+        total = hosts.agg(F.sum("hs"), F.sum("hn")).first()
+        self.overall = float(np.clip(total[0] / total[1], 1e-3, 1 - 1e-3)) if total[1] else 0.5
+        self.host_prior = _prior(hosts, "hn", "hs", "hq", F.lit(self.overall))
+        joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("host", "path", "n", "s", "q", "hn", "hs")
+        self.sums = written(joined, "joined")
+        self.path_prior = _prior(self.sums, "n", "s", "q", self._host(0, F.lit(0.0)))
+
+    def _host(self, less: int, own: Column, n: str = "hn", s: str = "hs") -> Column:
+        return (F.col(s) - own + self.host_prior * F.lit(self.overall)) / (F.col(n) - less + self.host_prior)
+
+    def posteriors(self, less: int, own: Column, sums: Sequence[str] = SUMS) -> tuple[Column, Column]:
+        """Of a row's host and path, from its columns named in `sums`, without `less` documents of the probability `own`."""
+        n, s, hn, hs = sums
+        host = self._host(less, own, hn, hs)
+        return host, (F.col(s) - own + self.path_prior * host) / (F.col(n) - less + self.path_prior)
+
+    def score(self, own: Column, sums: Sequence[str] = SUMS) -> Column:
+        """A document's log-odds by its own evidence and its path's."""
+        logit = lambda p, least: F.log(F.greatest(F.lit(least), F.least(F.lit(1 - least), p)) / (1 - F.greatest(F.lit(least), F.least(F.lit(1 - least), p))))
+        return logit(own, 1e-12) + logit(self.posteriors(1, own, sums)[1], 1e-3) - F.lit(float(np.log(self.overall / (1 - self.overall))))
+
+
 def group_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_posterior, path_posterior, shift) from scored (host, path, own): a row for each path."""
-    paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("s"), F.sum(F.col("own") * F.col("own")).alias("q")), "paths")
-    hosts = written(paths.groupBy(F.col("host").alias("_host")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq")), "hosts")
-    total = hosts.agg(F.sum("hs"), F.sum("hn")).first()
-    overall = float(np.clip(total[0] / total[1], 1e-3, 1 - 1e-3)) if total[1] else 0.5
-    host_prior = _prior(hosts, "hn", "hs", "hq", F.lit(overall))
-    hosts = hosts.withColumn("host_posterior", (F.col("hs") + host_prior * F.lit(overall)) / (F.col("hn") + host_prior))
-    joined = written(paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("host", "path", "n", "s", "q", "host_posterior"), "joined")
-    path_prior = _prior(joined, "n", "s", "q", F.col("host_posterior"))
-    joined = joined.withColumn("path_posterior", (F.col("s") + path_prior * F.col("host_posterior")) / (F.col("n") + path_prior))
-    logit = lambda p: F.log(p / (1 - p))
-    bounded = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("path_posterior")))
-    return joined.select("host", "path", "host_posterior", "path_posterior", (logit(bounded) - logit(F.lit(overall))).alias("shift"))
-
-
-def _final(own: Column, shift: Column) -> Column:
-    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), own))
-    return 1 / (1 + F.exp(-(F.log(p / (1 - p)) + shift)))
+    """(host, path, host_posterior, path_posterior) of all documents of scored (host, path, own): a row for each path."""
+    groups = Groups(scored)
+    host, path = groups.posteriors(0, F.lit(0.0))
+    return groups.sums.select("host", "path", host.alias("host_posterior"), path.alias("path_posterior"))
 
 
 def _scored(docs: DataFrame, classifier: Classifier, host: str, path: str, more: Sequence[str]) -> DataFrame:
@@ -163,25 +188,26 @@ def _scored(docs: DataFrame, classifier: Classifier, host: str, path: str, more:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, own, host_posterior, path_posterior, score, keep): keep is 1 where score is at least 0.5."""
     scored = _scored(docs, fitted(docs, labels, per_class), host, path, ["doc_id"])
-    groups = written(group_posteriors(scored), "groups").withColumnsRenamed({"host": "_host", "path": "_path"})
-    both = scored.join(groups, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    score = _final(F.col("own"), F.col("shift"))
-    return both.select("doc_id", "own", "host_posterior", "path_posterior", score.alias("score"), (score >= 0.5).cast("int").alias("keep"))
+    groups = Groups(scored)
+    sums = groups.sums.withColumnsRenamed({"host": "_host", "path": "_path"})
+    both = scored.join(sums, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    (of_host, of_path), score = groups.posteriors(1, F.col("own")), groups.score(F.col("own"))
+    return both.select("doc_id", "own", of_host.alias("host_posterior"), of_path.alias("path_posterior"), (1 / (1 + F.exp(-score))).alias("score"), (score >= 0).cast("int").alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
-    """docs' rows whose score is at least 0.5. A document's own probability is worked out twice rather than shuffling texts."""
+    """docs' rows whose score is at least 0.5, as they are. A document's own probability is worked out twice rather than shuffling texts."""
     classifier = fitted(docs, labels, per_class)
-    of_host, of_path, by = spare(docs, "host", "path", "shift")
-    groups = written(group_posteriors(_scored(docs, classifier, host, path, [])), "groups").select(F.col("host").alias(of_host), F.col("path").alias(of_path), F.col("shift").alias(by))
-    same = F.col(host).cast("string").eqNullSafe(F.col(of_host)) & F.col(path).cast("string").eqNullSafe(F.col(of_path))
-    shifted = docs.join(groups, same).select(*docs.columns, by)
+    groups = Groups(_scored(docs, classifier, host, path, []))
+    of_host, of_path, own, *sums = spare(docs, "host", "path", "own", *SUMS)
+    renamed = groups.sums.select(F.col("host").alias(of_host), F.col("path").alias(of_path), *[F.col(c).alias(n) for c, n in zip(SUMS, sums, strict=True)])
 
     def run(batches):
         for whole in batches:
             for batch in _batches(whole, "text"):
-                own = np.clip(classifier(pc.fill_null(batch["text"], "")), 1e-12, 1 - 1e-12)
-                keep = np.log(own / (1 - own)) + batch[by].to_numpy() >= 0
-                yield batch.filter(pa.array(keep)).drop_columns([by])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(classifier(pc.fill_null(batch["text"], "")))], [*batch.schema.names, own])
+        release()
 
-    return shifted.mapInArrow(run, docs.schema)
+    known = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.DoubleType())]))
+    same = F.col(host).cast("string").eqNullSafe(F.col(of_host)) & F.col(path).cast("string").eqNullSafe(F.col(of_path))
+    return known.join(renamed, same).where(groups.score(F.col(own), sums) >= 0).select(*docs.columns)
