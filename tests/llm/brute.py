@@ -7,6 +7,8 @@ import re
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
+
 from marlstone.llm import secret_scan
 
 
@@ -84,3 +86,54 @@ def masked(text, mask="[secret]"):
             out += [text[at:start], mask]
         at = max(at, end)
     return "".join(out) + (text or "")[at:] if base or more else text, bool(base or more)
+
+
+def phrases(symbols):
+    """Locally consistent parsing of one list of symbols, a symbol at a time: the names of its phrases."""
+    mask, c = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        return x ^ (x >> 32)
+
+    def coin(before, own):
+        at = next((b for b in range(7) if (before ^ own) >> b & 1), 7)
+        return 2 * at + (own >> at & 1)
+
+    whole = [(s, len(list(g))) for s, g in itertools.groupby(symbols)]
+    runs = [s if n == 1 else mix((s + n * c) & mask) for s, n in whole]
+    labels = [runs[0] & 1]
+    for a, b in itertools.pairwise(runs):
+        at = next(k for k in range(64) if (a ^ b) >> k & 1)
+        labels.append((2 * at + (b >> at & 1)) & 127)
+    for _ in range(3):
+        labels = [labels[0] & 1, *(coin(a, b) for a, b in itertools.pairwise(labels))]
+    out = []
+    for i, s in enumerate(runs):
+        peak = i > 0 and labels[i] > labels[i - 1] and (i == len(runs) - 1 or labels[i] > labels[i + 1])
+        if i == 0 or peak:
+            out.append([])
+        out[-1].append(s)
+    return [mix((sum(mix((s + k * c) & mask) for k, s in enumerate(p)) + len(p)) & mask) for p in out]
+
+
+def private_spans(text, base, trees, cuts):
+    """(kind, start, finish) of the looser formats that the trees accept, outside of the base spans (start, finish)."""
+    from marlstone.llm import pii
+
+    out = set()
+    for number, kind in enumerate(pii.KINDS):
+        for m in re.finditer(pii.MORE[kind], text, re.ASCII):
+            if any(m.start() < f and s < m.end() for s, f in base):
+                continue
+            found, before, after = m[0], text[max(0, m.start() - pii.CONTEXT) : m.start()], text[m.end() : m.end() + 2]
+            digits, separators = re.sub("[^0-9]", "", found), re.sub("[A-Za-z0-9]", "", found)
+            total = sum((2 * int(d) - 9 * (int(d) > 4)) if i % 2 else int(d) for i, d in enumerate(reversed(digits)))
+            row = {
+                "kind": number, "digits": len(digits), "length": len(found), "separators": len(separators), "parens": "(" in found, "luhn": bool(digits) and total % 10 == 0,
+                "distinct_digits": max(1, len(set(digits))), "for": bool(re.search(pii.FOR, before)), "against": bool(re.search(pii.AGAINST, before)), "word_before": bool(re.search("[A-Za-z]$", before)),
+                "word_after": bool(re.match("[A-Za-z]", after)), "zero_start": digits.startswith("0"), "same_separator": len([k for k, _ in itertools.groupby(separators)]) <= 1,
+            }
+            if trees.score(np.array([[float(row[n]) for n in pii.FEATURES]]))[0] >= cuts[kind]:
+                out.add((kind, m.start(), m.end()))
+    return out

@@ -1,6 +1,7 @@
-"""What the gate before the licence classifier lets through."""
+"""Licence scans: what is looked at, wrapped notices, and a scan that judges every paragraph."""
 
 import random
+import textwrap
 
 import pytest
 
@@ -35,3 +36,27 @@ def test_no_family_is_passed_over(classifier):
                 unsigned += not licenses.re.search(licenses.SIGNS, text)
                 assert [f for *_, f in licenses.scan(text, classifier)] == [name], text
     assert unsigned
+
+
+def test_wrapped_notices_of_all_families(classifier):
+    for family, notices in licenses.NOTICES.items():
+        for notice in notices:
+            for width, lead in ((30, "# "), (40, ""), (60, " * "), (75, "// ")):
+                header = "\n".join(lead + line for line in textwrap.wrap(notice, width))
+                text = f"int main;\n\n{header}\n\nint other;"
+                assert {f for *_, f in licenses.scan(text, classifier)} == {family}, text
+    both = "Licensed under CC BY 4.0.\nReleased under the MIT License.\nand more words"
+    assert [f for *_, f in licenses.scan(both, classifier)] == ["cc-by", "mit"]
+
+
+def test_scan_equals_judging_every_paragraph(classifier):
+    r, words = random.Random(4), "tide lamp river public software stone under the of conditions license copy general granted a b".split()
+    notices = [n for some in licenses.NOTICES.values() for n in some] + list(NAMED) + ["Licensed under the Zorble License."]
+    for k in range(60):
+        lines = []
+        for _ in range(r.randint(1, 9)):
+            line = " ".join(r.choice(words) for _ in range(r.choice((0, 3, 12, 90))))
+            lines += textwrap.wrap(f"{line} {r.choice(notices)}", r.choice((40, 200, 10_000))) if r.random() < 0.4 else [line]
+        text = "\n".join(lines)
+        every = [(start, end, block, *licenses.judged(text[start:end], classifier)) for start, end, block in licenses.paragraphs(text)]
+        assert licenses.scan(text, classifier) == licenses.settled(every), k

@@ -6,6 +6,7 @@ import itertools
 import re
 import zlib
 
+import brute as slow
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,27 @@ def test_the_methods_own_spans(spark):
     assert {r.doc_id: r.spans for r in secret_scan.secret_digest(made).collect()}[3] == "github:0:40"
 
 
+def test_the_trees_choices_equal_a_slow_version(spark):
+    texts = [t for _, t, _ in pii.invented(250, seed=5)] + ["a@b.io (at) c.de +49 555-123-4567 555-123-4567", "1111.2222.3333.4444 555-123-4567, (030) 123 4567; 2001:0db8:0000:0000:0000:ff00:0042:8329"]
+    trees, cuts = pii.fitted(spark)
+    got = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    accepted = 0
+    for i, text in enumerate(texts):
+        strict = brute(PRIVATE, private, text)
+        base = [tuple(map(int, x.split(":")[1:])) for x in strict.split(",") if x]
+        more = slow.private_spans(text, base, trees, cuts)
+        assert set(filter(None, got[i].split(","))) == set(filter(None, strict.split(","))) | {f"{k}:{a}:{b}" for k, a, b in more}, text
+        accepted += len(more)
+    assert accepted > 50
+
+
+def test_secrets_of_all_rules_equal_a_slow_version(spark):
+    r, parts = np.random.default_rng(3), ["ghp_" + "aB3" * 13, "xoxb-0123456789ab-abcdef12", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, "-----BEGIN RSA PRIVATE KEY-----" + "Zz9+" * 20, "token=", "secret: 'abcdef", "AKIA" + "X" * 16, "f" * 30, "日本", " ", "\n", "plain"]
+    texts = ["".join(parts[k] for k in r.integers(0, len(parts), r.integers(1, 9))) for _ in range(120)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.text for x in secret_scan.redact_secrets(made).collect()} == {i: slow.masked(t)[0] for i, t in enumerate(texts)}
+
+
 def test_trigram_queries_hold_for_matches():
     def holds(q, text):
         return q is True or (q in text.lower() if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, text) for x in q[1]))
@@ -334,6 +356,19 @@ def in_order(got, docs):
     assert collections.Counter((None if i is None or i != i else int(i), n, h) for i, n, h in zip(got["doc_id"], got["n_chars"], got["edited_sha256"], strict=True)) == want
 
 
+def test_phrases_equal_a_slow_parser():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 400):
+        texts = ["".join(r.choice(list("ab cdé日"), n)) for _ in range(6)] + ["a" * n, "ab" * n]
+        rows = [fingerprints._mix(np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)) for t in texts]
+        symbols, first = np.concatenate(rows), np.concatenate([np.arange(len(x)) == 0 for x in rows])
+        rows = [x.tolist() for x in rows]
+        for _ in range(3):
+            symbols, first = fingerprints.parse_level(symbols, first)
+            rows = [slow.phrases(x) for x in rows]
+            assert symbols.tolist() == [name for x in rows for name in x]
+
+
 def test_equal_substrings_share_phrases():
     text = prose(3000, 8)
     one = fingerprints.fingerprints([text])[0]
