@@ -7,8 +7,11 @@ overlaps. The trees are fitted on the driver to `fit_rows` invented candidates (
 recipe, no corpus text), whose features come from the same expressions as the corpus's,
 and become one SQL expression; scoring runs in the JVM.
 
-Defined results: null text is empty; every row is judged on its own, so null or repeated
-doc_ids don't matter; an empty table gives no rows.
+Defined results: null text is empty; a text of any length is searched whole; spans that
+begin at one place are listed by kind; every row is judged on its own, so null or repeated
+doc_ids don't matter; only doc_id and text are read, whatever else there is, by the digest
+(scan_pii() keeps all columns, of which none may begin with an underscore and a kind's
+name); an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ expression has no mandatory trigram searches all documents.
 
 Trigrams are of texts in lower case, so that one index serves rules of either case.
 
-Defined results: null text is empty; rows that repeat a doc_id or have none share their
-postings and are each verified on their own text; an empty table gives no rows.
+Defined results: null text is empty; a text of any length is searched whole; rows that
+repeat a doc_id or have none share their postings and are each verified on their own text;
+spans that begin at one place are listed by kind; columns of any name are passed on by
+redact_secrets() and not read by secret_digest(); an empty table gives no rows.
 """
 
 from __future__ import annotations
