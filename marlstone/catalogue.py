@@ -16,11 +16,14 @@ from marlstone.functions.values import as_array, field_values, js_string, nested
 from marlstone.operators import incremental, postings, relations
 from marlstone.plans.catalog import Catalog, Relation, Source
 from marlstone.plans.engine import Engine
-from marlstone.plans.paging import AFTER, BEFORE, cursor_column, encode_cursor
+from marlstone.plans.paging import AFTER, BEFORE, cursor_column, encode_cursor, page_slice
 from marlstone.plans.query import BINARY, Query
 from marlstone.shared import fresh_path
 from marlstone.sources import files, parsers
+from marlstone.sources.changes import FolderChanges, extract_diff
+from marlstone.sources.storage import SparkStorage
 from marlstone.sources.validation import violations
+from marlstone.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -733,6 +736,89 @@ def ssg_export(spark, d):
     return made.select("kind", field("$.r_name").alias("name"), nations.alias("n_nations"), field("$.hasNextPage").alias("has_next"))
 
 
+# Content files
+
+NATION_FILES = Catalog.from_json({"sources": {"nations": {
+    "type": "markdown", "pattern": "nations/**/*.md", "index": {"name": {}, "region": {}},
+    "schema": {"type": "object", "required": ["name", "region"], "properties": {"name": {"type": "string"}, "region": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}},
+}}})
+
+
+def _nation_files(spark, d, where: str = "true", name: str = "n_name") -> str:
+    """A folder of Markdown files, one for each nation, below its region's folder."""
+    root = fresh_path(spark, "content")
+    storage = SparkStorage(spark, root)
+    for r in engine(spark, d).frame("nation").where(where).selectExpr("n_nationkey", "n_regionkey", f"{name} AS name").collect():  # 25 rows at most
+        storage.write(f"nations/r{r.n_regionkey}/n{r.n_nationkey}.md", f"---\nname: {r.name}\nregion: {r.n_regionkey}\ntags:\n  - {r.name.lower()}\n  - all\n---\nbody\n")
+    return root
+
+
+NATION_SLUG = "'r' || n_regionkey || '--n' || n_nationkey"
+
+
+@query(f"SELECT {NATION_SLUG} AS slug, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, lower(n_name) || '+all' AS tags FROM nation")
+def content_scan(spark, d):
+    """All records of a source of files, parsed and checked, with slugs made of their paths."""
+    rows = Engine(spark, NATION_FILES, _nation_files(spark, d)).frame("nations")
+    return rows.select("slug", "name", "region", F.array_join("tags", "+").alias("tags"))
+
+
+@query(f"SELECT {NATION_SLUG} AS slug, n_name AS name, true AS has_raw FROM nation WHERE n_nationkey IN (3, 7)")
+def content_by_slug(spark, d):
+    e = Engine(spark, NATION_FILES, _nation_files(spark, d))
+    wanted = [r.slug for r in e.frame("nations").where("slug LIKE '%--n3' OR slug LIKE '%--n7'").select("slug").collect()]
+    return e.get_many("nations", wanted).select("slug", "name", F.startswith("raw", F.lit("---")).alias("has_raw"))
+
+
+@query(f"SELECT 'nations/' || replace({NATION_SLUG}, '--', '/') || '.md' AS path FROM nation WHERE n_regionkey = 1")
+def storage_list(spark, d):
+    found = SparkStorage(spark, _nation_files(spark, d)).list("nations/r1/*.md")
+    return spark.createDataFrame([(p,) for p in found], "path string")
+
+
+@query(f"""
+SELECT CASE WHEN n_nationkey % 8 = 0 THEN 'D' WHEN n_nationkey % 8 = 1 THEN 'A' ELSE 'M' END AS status, {NATION_SLUG} AS slug, CASE WHEN n_nationkey % 8 = 1 THEN 'NEW ' || n_name ELSE n_name END AS name
+FROM nation WHERE n_nationkey % 8 <= 2
+""")
+def folder_diff(spark, d):
+    """The change feed between two folders of files."""
+    changed = "CASE WHEN n_nationkey % 8 IN (1, 2) THEN concat('NEW ', n_name) ELSE n_name END"
+    old, new = _nation_files(spark, d, "n_nationkey % 8 <> 1"), _nation_files(spark, d, "n_nationkey % 8 <> 0", changed)
+    return extract_diff(spark, NATION_FILES, FolderChanges(spark), old, new).select("status", "slug", F.col("fields")["name"][0].alias("name"))
+
+
+_R = "CAST(r_regionkey AS VARCHAR)"
+REGION_POSTINGS = f"{_post(_R, 'region', 'slug', 'region', _R, 1)} UNION ALL {_post('r_name', 'region', 'r_name', 'region', _R, 1)}"
+
+
+@query(f"SELECT * FROM ({REGION_POSTINGS})")
+def stream_updates(spark, d):
+    """A stored index that a stream of change feeds has brought up to date."""
+    old = engine(spark, d).frame("region").where("r_regionkey <> 2").withColumn("r_name", F.expr("CASE WHEN r_regionkey = 1 THEN 'OLD' ELSE r_name END"))
+    path, feeds, state = fresh_path(spark, "index"), fresh_path(spark, "feeds"), fresh_path(spark, "stream")
+    postings.build_index(engine(spark, d, region=old), path, ["region"])
+    incremental.snapshot_diff(old, engine(spark, d).frame("region"), "region", ["r_name"]).write.json(feeds)
+    only = Engine(spark, Catalog({"region": Source("region", "table", "region.parquet", key=("r_regionkey",), index={"r_name": 1})}), d)
+    updates.follow(only, feeds, path, f"{state}/checkpoint", f"{state}/staging").awaitTermination()
+    return postings.read_index(spark, path).select(*SHOWN)
+
+
+@query(f"SELECT v, vs, slug FROM ({REGION_POSTINGS})")
+def export_lines_read(spark, d):
+    """The index as gzipped JSON lines, read again."""
+    out = fresh_path(spark, "lines")
+    postings.export_lines(postings.with_ref(postings.postings(engine(spark, d), "region")), out)
+    lines = spark.read.schema("v string, vs string, ref map<string,map<string,array<string>>>").option("recursiveFileLookup", True).json(out)
+    return lines.select("v", "vs", F.explode(F.map_keys("ref")).alias("slug"))
+
+
+@query("SELECT n_name AS v FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS n FROM nation) WHERE n BETWEEN 6 AND 9")
+def page_of_rows(spark, d):
+    """A page cut from rows at hand: four after the fifth."""
+    rows = [r[0] for r in engine(spark, d).frame("nation").select("n_name").orderBy("n_name").collect()]
+    return spark.createDataFrame([(v,) for v in page_slice(rows, 4, 4, AFTER)], "v string")
+
+
 @query()
 def type_schema(spark, d):
     text = export.type_definitions(CATALOG)
