@@ -12,9 +12,11 @@ levels in LEVELS, of about 6 and 15 characters); likeness is the Jaccard similar
 the smallest hashes of two texts together estimate (exact for texts of few phrases).
 
 Defined results: null text is empty; the fingerprint of an empty text is "", which is
-like itself (1) and unlike any other (0); rows follow each other by descending doc_id, of
-equal ids by text, those without id come last; if no row has an id, the last one's next
-text is empty; an empty table gives no rows.
+like itself (1) and unlike any other (0); a text of any length is parsed whole; rows follow
+each other by descending doc_id, of equal ids by text, and those without id come last, by
+the md5 of their texts (rows that share an id, or that lack one and share a text, are in one
+range); a single row is its own next; columns besides doc_id and text are not read, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import text_or_empty
+from marlstone.shipping import ship
 
 LEVELS = (2, 3)
 SKETCH = 64
@@ -158,25 +161,35 @@ _OUT = pa.schema(
 )
 
 
-def _range(bounds: np.ndarray):
-    """bounds: the first (largest) ids of the ranges, descending. A range's first row also goes, as `ahead`, to the range before it; the very first to the last one."""
+def _range(bounds: np.ndarray, heads: np.ndarray):
+    """bounds: the first (largest) ids of the ranges, descending; heads: the first (smallest) digests of the ranges of rows without id.
+
+    A range's first row also goes, as `ahead`, to the range before it; the very first to the last one.
+    """
+    rising, n, every = bounds[::-1], len(bounds), len(bounds) + len(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rising = bounds[::-1]
         for batch in batches:
-            known = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
-            ids = pc.fill_null(batch.column(0), 0).to_numpy()
-            n = len(bounds)
-            place = np.where(known, n - 1 - np.searchsorted(rising, ids, "left"), n - 1) if n else np.zeros(len(ids), np.int64)
-            lead = np.flatnonzero(known & (bounds[place] == ids)) if n else np.zeros(0, np.int64)
+            known = pc.is_valid(batch["doc_id"]).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(batch["doc_id"], 0).to_numpy()
+            place, first = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+            if n:
+                place = n - 1 - np.searchsorted(rising, ids, "left")
+                first = known & (bounds[np.maximum(place, 0)] == ids)
+            if len(heads):
+                digests = np.array(pc.fill_null(batch["digest"], "").to_pylist(), "U32")
+                own = np.maximum(np.searchsorted(heads, digests, "right") - 1, 0)
+                place = np.where(known, place, n + own)
+                first |= ~known & (heads[own] == digests)
+            lead = np.flatnonzero(first)
+            lead = lead[np.sort(np.unique(place[lead], return_index=True)[1])] if n == 0 or not known[lead].all() else lead
             rows = np.append(np.arange(len(ids)), lead)
-            where = np.append(place, np.where(place[lead] == 0, n - 1, place[lead] - 1))
+            where = np.append(place, (place[lead] - 1) % every)
             ahead = np.arange(len(rows)) >= len(ids)
             for k in range(0, len(rows), 2000):
-                some = rows[k : k + 2000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(where[k : k + 2000]), pa.array(ahead[k : k + 2000]), batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some))], ["place", "ahead", "doc_id", "text"]
-                )
+                some = pa.array(rows[k : k + 2000])
+                columns = [batch[c].take(some) for c in ("doc_id", "text", "digest")]
+                yield pa.RecordBatch.from_arrays([pa.array(where[k : k + 2000]), pa.array(ahead[k : k + 2000]), *columns], ["place", "ahead", "doc_id", "text", "digest"])
 
     return run
 
@@ -215,18 +228,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness; its likeness to the next document.
 
-    One pass over the ids finds the bounds of ranges of about RANGE_ROWS rows; the texts
-    are shuffled once, by range, and read in order.
+    One pass over the ids, and one over the digests of rows without id, finds where ranges
+    of about RANGE_ROWS rows begin; the texts are shuffled once, by range, and read in order.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ship(docs.sparkSession)
+    digest = F.when(F.col("doc_id").isNull(), F.md5(text_or_empty())).alias("digest")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), digest)
     ids = source.select("doc_id").where("doc_id is not null")
     n, most = ids.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     ranges = min(MOST_RANGES, math.ceil(n / RANGE_ROWS))
     shares = F.expr(f"array({', '.join(f'{k / ranges!r}D' for k in range(1, ranges))})")
     cuts = ids.agg(F.percentile_approx("doc_id", shares, F.lit(10 * ranges))).first()[0] if ranges > 1 else []
     bounds = np.array(sorted(set(cuts) | ({int(most)} if n else set()), reverse=True), np.int64)
-    dealt = source.mapInArrow(_range(bounds), "place long, ahead boolean, doc_id long, text string")
-    ordered = dealt.repartition(max(1, len(bounds)), "place").sortWithinPartitions("place", "ahead", F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInArrow(
+    others = source.select("doc_id", "digest").where("doc_id is null")
+    parts = min(MOST_RANGES, math.ceil(others.count() / RANGE_ROWS))
+    part = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * parts / 2**32)
+    heads = sorted(r[0] for r in others.groupBy(part.alias("part")).agg(F.min("digest").alias("first")).select("first").collect()) if parts else []  # one for each range
+    dealt = source.mapInArrow(_range(bounds, np.array(heads, "U32")), "place long, ahead boolean, doc_id long, text string, digest string")
+    ordered = dealt.repartition(max(1, len(bounds) + len(heads)), "place").sortWithinPartitions("place", "ahead", F.col("doc_id").desc_nulls_last(), "digest", "text")
+    return ordered.drop("digest").mapInArrow(
         _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
