@@ -14,7 +14,6 @@ map that the key is in and take its place.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
