@@ -171,11 +171,10 @@ def _placed(index: Index, probes: int):
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(vec_id, vector): the rows that take part, their vectors divided by the largest component's size."""
-    finite: Callable[[Column], Column] = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda v: v.cast("double")).alias("vector"))
-    rows = rows.where("vec_id is not null").where(F.forall("vector", finite)).where(F.exists("vector", lambda v: v != 0))
-    largest = F.array_max(F.transform("vector", F.abs)).alias("largest")
-    rows = rows.select("vec_id", "vector", largest).select("vec_id", F.transform("vector", lambda v: v / F.col("largest") + F.lit(0.0)).alias("vector"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
+    largest = F.greatest(F.array_max("vector"), -F.array_min("vector"))  # NaN is the largest of all
+    rows = rows.where((largest > 0) & (largest < float("inf")) & F.forall("vector", lambda v: v.isNotNull()))
+    rows = rows.select("vec_id", "vector", largest.alias("largest")).select("vec_id", F.transform("vector", lambda v: v / F.col("largest") + F.lit(0.0)).alias("vector"))
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     return rows.where(F.size("vector") == (size["n"] if size else 0))
 
