@@ -8,23 +8,28 @@ variants calibrates its probabilities; a family below LEAST_PROBABILITY is unkno
 is one of which no notice shares enough word pairs with the paragraph.
 
 A paragraph is a line, or a window of WINDOW words of a longer one, each starting half a
-window on. It is scored if it has one of the SIGNS, one of the NAMES or a word of the
-notices of which any paragraph that shares enough word pairs with a notice has one. So no
-listed family that the classifier would accept is passed over; "unknown" needs a sign or a
-name, since the classifier alone takes some text of invented words for licences. Where it
-finds no family in a paragraph that names a licence, the first name says it (AGPL is
-unknown). MIT and ISC count as names beside "licence" or "Lizenz", or as the whole paragraph.
-
-Defined results: null text is empty; documents without licences get an empty string; every
-row is scanned on its own, so null or repeated doc_ids don't matter; an empty table gives
-no rows.
+window on; and, as notices are often wrapped, a block of lines without an empty one between
+them, joined, with the same windows. Blocks only add families to what their lines gave, and
+unknown lines inside a paragraph of a family are part of its notice. A paragraph is looked
+at if it has one of the SIGNS, one of the NAMES or a word of the notices of which any
+paragraph that shares enough word pairs with a notice has one. So no listed family that the
+classifier would accept is passed over; "unknown" needs a sign or a name, since the
+classifier alone takes some text of invented words for licences. Where it finds no family in
+a paragraph that names a licence, the first name says it (AGPL is unknown). MIT and ISC
+count as names beside "licence" or "Lizenz", or as the whole paragraph.
+
+Defined results: null text is empty; a text of any length is scanned whole; documents
+without licences get an empty string; every row is scanned on its own, so null or repeated
+doc_ids don't matter; columns besides doc_id and text are not read, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +191,9 @@ class Classifier:
         self.held_out = float((scores.argmax(1) == y[held]).mean())
         self.pairs = {f: [self._pairs(n) for n in notices] for f, notices in NOTICES.items()}
         self.clues = sorted({w for notices in self.pairs.values() for n in notices for w in covering(n)})
+        #: What every paragraph has that is anything but none.
+        names = [h for h in _HINTS if h not in ("mit", "isc")]  # these have a sign beside them or a line to themselves
+        self.hints = re.compile("|".join([SIGNS, *names, r"(?m:^[^\w\n]*(?:mit|isc)[^\w\n]*$)", *map(re.escape, self.clues)]))
 
     def _row(self, bag: set[str]) -> np.ndarray:
         row = np.zeros(len(self.places), np.float32)
@@ -221,49 +229,85 @@ class Classifier:
         if name == NONE:
             return name, float(p[best])
         if name != UNKNOWN:
-            own = self._pairs(paragraph)
-            shared = max(len(own & t) / len(t) for t in self.pairs[name])
-            if p[best] < LEAST_PROBABILITY or shared < LEAST_SHARED:
+            if p[best] < LEAST_PROBABILITY or self.shared(paragraph, name) < LEAST_SHARED:
                 name = UNKNOWN
         return name, float(p[best])
 
+    def shared(self, paragraph: str, family: str) -> float:
+        """The largest share of the word pairs of one of the family's notices that the paragraph has."""
+        own = self._pairs(paragraph)
+        return max(len(own & t) / len(t) for t in self.pairs[family])
 
-def paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the lines, or of the windows of long ones."""
-    for line in re.finditer(r"[^\n]+", text):
-        found = list(re.finditer(r"\S+", line[0])) if len(line[0]) > WINDOW else []
-        if len(found) <= WINDOW:
-            yield line.start(), line.end()
+
+def _windows(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the part of a text, or of its windows if it has more than WINDOW words."""
+    found = [m.span() for m in re.compile(r"\S+").finditer(text, start, end)] if end - start > WINDOW else []
+    if len(found) <= WINDOW:
+        yield start, end
+        return
+    for k in range(0, len(found) - WINDOW // 2, WINDOW // 2):
+        yield found[k][0], found[min(k + WINDOW, len(found)) - 1][1]
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether it is a block of lines) of all paragraphs."""
+    block: list[tuple[int, int]] = []
+
+    def blocks() -> Iterator[tuple[int, int, bool]]:
+        if len(block) > 1:
+            yield from ((*w, True) for w in _windows(text, block[0][0], block[-1][1]))
+        block.clear()
+
+    for line in re.finditer(r"[^\n]*\n?", text):
+        start, end = line.start(), line.start() + len(line[0].removesuffix("\n"))
+        if not any(c.isalnum() for c in line[0]):
+            yield from blocks()
             continue
-        for k in range(0, len(found) - WINDOW // 2, WINDOW // 2):
-            yield line.start() + found[k].start(), line.start() + found[min(k + WINDOW, len(found)) - 1].end()
+        yield from ((*w, False) for w in _windows(text, start, end))
+        block.append((start, end))
+    yield from blocks()
+
+
+def judged(paragraph: str, classifier: Classifier) -> tuple[str, float]:
+    """The family, unknown or none, and how much of a notice of the family it has: what the classifier says, or else a sign or a name."""
+    paragraph = re.sub(r"-[^\S\n]*\n\W*", "-", paragraph)  # a word that was parted at the end of a line
+    name, _ = classifier(paragraph)
+    if name in (NONE, UNKNOWN):
+        return named(paragraph) or (name if re.search(SIGNS, paragraph) else NONE), 1.0
+    return name, classifier.shared(paragraph, name)
+
+
+def settled(found: Iterable[tuple[int, int, bool, str, float]]) -> list[tuple[int, int, str]]:
+    """(start, end, family or unknown) from judged paragraphs (start, end, block, name, share).
+
+    A line whose notice is less whole than that of a block of another family around it is
+    part of the block's notice. Of overlapping paragraphs of a family the first counts,
+    lines before blocks; unknown lines count outside of families.
+    """
+    some = [x for x in found if x[3] != NONE and not (x[2] and x[3] == UNKNOWN)]
+    around = [x for x in some if x[2]]
+    some = [x for x in some if x[2] or x[3] == UNKNOWN or not any(b[0] < x[1] and x[0] < b[1] and b[3] != x[3] and b[4] > x[4] for b in around)]
+    spans: dict[str, list[tuple[int, int]]] = {}
+    kept: list[tuple[int, int, str]] = []
+    meets = lambda name, start, end: any(s < end and start < e for s, e in spans.get(name, ()))
+    for start, end, _, name, _ in sorted(some, key=lambda x: (x[3] == UNKNOWN, x[2], x[0])):
+        if not any(meets(n, start, end) for n in ([*spans] if name == UNKNOWN else [name])):
+            kept.append((start, end, name))
+        spans.setdefault(name, []).append((start, end))
+    return sorted(kept)
 
 
 def scan(text: str, classifier: Classifier) -> list[tuple[int, int, str]]:
-    """(start, end, family or unknown) of licence paragraphs; of overlapping windows of one family, the first."""
-    out: list[tuple[int, int, str]] = []
-    signs = re.compile(SIGNS)
-    for start, end in paragraphs(text):
-        paragraph = text[start:end]
-        signed, says = signs.search(paragraph), named(paragraph)
-        if not signed and not says:
-            low = paragraph.lower()
-            if not any(w in low for w in classifier.clues):
-                continue
-        name, _ = classifier(paragraph)
-        if name in (NONE, UNKNOWN):
-            name = says or (name if signed else NONE)
-        if name != NONE and not any(s < end and start < e and f == name for s, e, f in out[-2:]):
-            out.append((start, end, name))
-    return out
+    """(start, end, family or unknown) of licence paragraphs."""
+    hints = [m.start() for m in classifier.hints.finditer(text)]
+    looked_at = lambda start, end: bisect.bisect_left(hints, start) < bisect.bisect_left(hints, end)
+    return settled((start, end, block, *judged(text[start:end], classifier)) for start, end, block in (paragraphs(text) if hints else ()) if looked_at(start, end))
 
 
 def _scan(classifier: Classifier):
-    some_sign = "|".join([SIGNS, *_HINTS, *map(re.escape, classifier.clues)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = pc.match_substring_regex(batch["text"], some_sign).to_pylist()
+            signed = pc.match_substring_regex(batch["text"], classifier.hints.pattern).to_pylist()
             rows = []
             for at, some in enumerate(signed):
                 found = scan(batch["text"][at].as_py(), classifier) if some else []
