@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import text_or_empty, written
-from marlstone.llm.spans import listed, no_spans, overlaps, with_spans
+from marlstone.llm.spans import listed, overlaps, with_spans
 
 try:  # the parser of Python's own expressions
     from re import _constants as rc
@@ -79,10 +79,16 @@ def _any(queries: list):
     return True if not some or True in some else some[0] if len(some) == 1 else ("or", tuple(some))
 
 
+def _cover(string: str) -> list[str]:
+    """The fewest trigrams that hold all of the string's characters: one after the other, and the last. The ones between ask for nothing more of a text but their places."""
+    last = len(string) - 3
+    return [string[i : i + 3] for i in sorted({*range(0, last, 3), last})] if last >= 0 else []
+
+
 def _strings(found: set[str]):
     """The query that a text satisfies if it holds one of the strings."""
     least = [s for s in found if not any(t != s and t in s for t in found)]
-    return _any(sorted((_all([s[i : i + 3] for i in range(len(s) - 2)]) for s in least), key=str))
+    return _any(sorted((_all(_cover(s)) for s in least), key=str))
 
 
 def trigram_query(pattern: str):
@@ -193,7 +199,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = (*BASE_RULES, *MORE_
     if asked:
         index = build_index(docs, set().union(*map(trigrams_of, asked.values())))
         found = candidates(index, asked)
-        whole = whole.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        # Candidates grow with the input: they are not to be broadcast, however few there are now.
+        whole = whole.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     patterns = {f"_{r.kind}": (r.java, F.array_contains("_rules", r.kind) if r.kind in asked else None) for r in rules}
     spans = with_spans(whole, patterns, "_text")
     for r in rules:
